@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, as_long, mixed, stored, text_buffers
 from .words import Runs, _SPACE, word_hashes
 
-BLOCK_BYTES = 24 << 20  # texts whose repeats are found before the first shuffle
+BLOCK_BYTES = 6 << 20  # texts whose repeats are found before the first shuffle
 _PATHS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
 PATHS = "m long, c long, doc_id long, start int, n int, dup boolean"
 SPANS = "doc_id long, start int, n int, expand boolean"
