@@ -8,8 +8,9 @@ Method
 1. Equal sets (128-bit sums over the set and its size) are linked to their smallest doc_id; one of them goes on.
 2. The forest has `TREES` trees. A tree orders documents by `DEEP` of their MinHash values; documents with a common
    prefix of `SHALLOW` values are a region. In a region of at most `SMALL` members all pairs are candidates. In a
-   larger one depth adapts: longest-common-prefix neighbours of the sorted order, and each member with the first of
-   every deeper prefix it lies in, so candidates stay in proportion to members.
+   larger one depth adapts: longest-common-prefix neighbours of the sorted order, each member with the first of every
+   deeper prefix it lies in, and with the few members nearest to the region's consensus (the text the others were
+   copied from, as a rule), so candidates stay in proportion to members.
    A sketch of two bits for each of the 128 values discards candidates far below the threshold (over four standard
    deviations).
 3. Candidates are joined with both texts and confirmed on full sets; confirmed links give components.
@@ -39,6 +40,7 @@ K = 5
 TREES, SHALLOW, DEEP = 16, 4, 8
 HASHES = TREES * DEEP
 SMALL = 16
+CENTRES = 4
 SKETCH_AGREE = 0.75  # share of equal 2-bit values; 0.8875 is expected at 0.85, with a standard deviation of 0.028
 BROADCAST_IDS = 2_000_000  # document ids broadcast at most: 16 MB
 _MUL, _ADD = seeded(HASHES, 2) | U64(1), seeded(HASHES, 3)
@@ -145,6 +147,13 @@ def _close(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, perc
     return keep
 
 
+def _central(sketch: np.ndarray) -> np.ndarray:
+    """The CENTRES rows that agree most with the commonest value of every place."""
+    two = np.stack([(sketch >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(sketch), -1)
+    commonest = np.argmax([(two == v).sum(0) for v in range(4)], axis=0)
+    return np.argsort(-(two == commonest).sum(1), kind="stable")[:CENTRES]
+
+
 PAIRS = "a long, b long, region long, doc_id long, n int, sketch binary"
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 
@@ -189,6 +198,10 @@ def _candidates(percent: int):
                     start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(key)), 0))
                     b = big[start[big] < big]
                     i.append(start[b]), j.append(b)
+                for r in np.flatnonzero(size > SMALL):  # the members nearest to the region's consensus
+                    members = np.arange(head[r], head[r] + size[r])
+                    for x in _central(sketch[members]):
+                        i.append(np.full(len(members), members[x])), j.append(members)
             i, j = np.concatenate(i), np.concatenate(j)
             keep = _close(sketch, n, i, j, percent)
             yield _pair_rows(ids, i[keep], j[keep])
