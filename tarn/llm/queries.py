@@ -17,6 +17,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substr
 
@@ -24,7 +36,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
