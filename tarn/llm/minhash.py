@@ -15,7 +15,8 @@ Method
    deviations).
 3. Candidates are joined with both texts and confirmed on full sets; confirmed links give components.
 4. Members of larger regions that ended in different components are compared again, each with every member of the
-   other components in its region, so adaptive depth loses no link between them.
+   other components in its region, so adaptive depth loses no link between them. A document whose set has too many
+   shingles that none of the others has cannot link with any and is left out of this step.
 
 At the threshold itself (similarity 0.85) a pair shares no region in any tree with probability 7e-6, less above it.
 Defined results: null doc_id: no part, no component, kept; rows that share a doc_id are one document with the union of
@@ -213,8 +214,20 @@ def _candidates(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _texts(batches):
+        s, offs = shingle_sets(b["text"])
+        ids = np.repeat(b["doc_id"].to_numpy(), np.diff(offs))
+        for lo in range(0, len(s), 65536):
+            yield pa.record_batch([pa.array(ids[lo : lo + 65536]), as_long(s[lo : lo + 65536])], names=["doc_id", "s"])
+
+
 def _between(percent: int):
-    """Rows (region, component, doc_id, n, sketch) sorted by region -> candidate pairs between components of a region."""
+    """Rows (region, component, doc_id, n, common, sketch) sorted by region -> candidate pairs between components of a region.
+
+    common: how many of the n shingles occur in any other of these documents. An intersection is no larger, so
+    documents with too many shingles of their own are left out at once, and exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _regions(batches):
@@ -222,6 +235,11 @@ def _between(percent: int):
                 continue
             key, ids, n, comp = t["region"].to_numpy(), t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["component"].to_numpy()
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(key), -1)
+            common = t["common"].to_numpy()
+            able = 100 * common >= percent * n  # even inside a document of the same common part
+            key, ids, n, comp, sketch, common = (x[able] for x in (key, ids, n, comp, sketch, common))
+            if not len(key):
+                continue
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             for lo, hi in zip(head, np.append(head[1:], len(key))):
                 _, inverse, count = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
@@ -232,6 +250,8 @@ def _between(percent: int):
                     others = np.flatnonzero(rank > rank[x])  # smaller components look at larger ones, each pair once
                     i, j = np.full(len(others), lo + x), lo + others
                     keep = _close(sketch, n, i, j, percent)
+                    most = np.minimum(common[i], common[j])
+                    keep &= 100 * most >= percent * (n[i] + n[j] - most)
                     if keep.any():
                         yield _pair_rows(ids, i[keep], j[keep])
 
@@ -297,7 +317,11 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
         labels = stored(labels, "labels")
         marked = crowded.join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed_regions = marked.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("region")
-        again = marked.join(mixed_regions.hint("merge"), "region", "left_semi").repartition("region").sortWithinPartitions("region", "doc_id")
+        again = stored(marked.join(mixed_regions.hint("merge"), "region", "left_semi"), "mixed")
+        ids = stored(again.select(F.col("doc_id").alias("id")).distinct(), "mixed-ids")
+        some = once.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge"), once.doc_id == ids.id, "left_semi")
+        own = some.mapInArrow(_shingles, "doc_id long, s long").groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+        again = again.join(own.hint("merge"), "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").repartition("region").sortWithinPartitions("region", "doc_id")
         more = stored(again.mapInArrow(_between(percent), PAIRS).select("a", "b").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
         if more.take(1):
             # components so far are stars; new links join them
