@@ -11,33 +11,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import minhash
+def _over(name: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from importlib import import_module
 
-    return minhash.components(table(spark, sf_dir, "documents"))
+        return getattr(import_module(f"{__package__}.{module}"), function)(table(spark, sf_dir, name))
 
+    return run
 
-def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import bpe
 
-    return bpe.digests(table(spark, sf_dir, "documents"))
-
-
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import packing
-
-    return packing.packed(table(spark, sf_dir, "documents"))
-
-
-def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import substr
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "op1_pii": _over("documents", "pii", "digests"),
+        "op2_minhash_near_dedup": _over("documents", "minhash", "components"),
+        "op3_html_extraction": _over("pages", "html_text", "extracted"),
+        "op4_bpe": _over("documents", "bpe", "digests"),
+        "op5_exact_topk": _over("embeddings", "topk", "searched"),
+        "op6_packing": _over("documents", "packing", "packed"),
+        "op7_url_filter": _over("pages", "urls", "judged"),
+        "op8_language_id": _over("documents", "langid", "digests"),
+        "op9_additive_ann": _over("embeddings", "ann", "searched"),
+        "op10_substring_dedup": _over("documents", "substr", "digests"),
+        "pipeline": _pipeline,
+    }
 
-    return substr.digests(table(spark, sf_dir, "documents"))
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op10_substring_dedup": op10_substring_dedup}
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_topk": TOPK_SQL}
+
+
+#: Integer inner products of every hundredth vector with all others; the ten highest, ties to the smaller id.
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
