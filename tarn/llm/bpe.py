@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import text_buffers
 
 VOCABULARY = "byte_bpe_50k.json"
-TABLE_WORDS = 400_000  # pre-tokens remembered by a Python worker
+TABLE_WORDS = 800_000  # pre-tokens remembered by a Python worker
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.int32(2**31 - 1)
 
