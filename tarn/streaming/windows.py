@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, event_type, n, total: works on streams (late rows are dropped after the watermark) and on tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
