@@ -34,9 +34,10 @@ def dose(c: Column) -> Column:
 def softmax(nll: Column) -> Column:
     """Probabilities of negative log-likelihoods (array), stable; null if any is null, negative or not finite."""
     least = F.array_min(nll)
-    w = F.transform(nll, lambda x: F.exp(least - x))
     ok = F.forall(nll, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
-    return F.when(ok & (F.size(nll) >= 2), F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, b: a + b)))
+    # the sum is bound once, as the state that the last step receives
+    shares = F.aggregate(nll, F.lit(0.0), lambda a, x: a + F.exp(least - x), lambda z: F.transform(nll, lambda x: F.exp(least - x) / z))
+    return F.when((F.size(nll) >= 2) & ok, shares)
 
 
 def predicted_index(nll: Column) -> Column:
