@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .grid import QUERY_EVERY, TOP, best, crossed, same_length, stored, valid
 
 BOOKS, WORDS, BEAM = 8, 64, 4
-SAMPLE, RERANK, ROUNDS = 8192, 160, 8
+SAMPLE, RERANK, ROUNDS = 8192, 224, 8
 
 
 def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -80,12 +80,15 @@ def _scorer(books: dict[int, np.ndarray]):
     def score(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q, qm, s, sm in same_length(queries, shard):
+            order = np.argsort(s["vec_id"].to_numpy(), kind="stable")
+            s, sm = s.iloc[order], sm[order]
             own_books = books.get(qm.shape[1], np.zeros((BOOKS, WORDS, qm.shape[1])))
             codes = np.frombuffer(b"".join(s["codes"]), np.uint8).reshape(len(s), BOOKS)
             ids, norm, qid = s["vec_id"].to_numpy(), s["norm"].to_numpy(), q["vec_id"].to_numpy()
+            tie = np.arange(len(ids)) * 1e-12 * max(1e-300, norm.max())  # equal approximations by vec_id
             for lo in range(0, len(q), 256):
                 part = qm[lo : lo + 256]
-                near = np.repeat(norm[None], len(part), 0)
+                near = np.repeat((norm + tie)[None], len(part), 0)
                 for m in range(BOOKS):
                     near -= 2 * (part @ own_books[m].T)[:, codes[:, m]]
                 near[qid[lo : lo + 256][:, None] == ids[None]] = np.inf
