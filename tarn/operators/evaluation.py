@@ -101,3 +101,20 @@ def ranked(table: DataFrame, metrics: list[str], inverted: list[str], name: str)
     out = table.withColumns(scale)
     out = out.withColumn("overall", sum(F.col(c) for c in scale) / len(scale))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("overall"), name)))
+
+
+def label_questions(rows: DataFrame, key: str, label: str, distractors: int, most: int = 10_000) -> DataFrame:
+    """Multiple-choice rows from labels: the answer and the other labels with the smallest digests of key and label, in
+    the order of a second digest. Adds choices and answer (a letter). The distinct labels are counted first; more than
+    `most` of them raise ValueError, as each row weighs them all.
+    """
+    names = rows.select(label).where(F.col(label).isNotNull()).distinct()
+    found = [r[0] for r in names.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels")
+    digest = lambda x, *salt: F.sha2(F.concat_ws("|", *salt, F.col(key).cast("string"), x), 256)
+    others = F.filter(F.array(*map(F.lit, sorted(found))), lambda x: x != F.col(label))
+    near = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(digest(x).alias("h"), x.alias("x")))), 1, distractors)
+    shown = F.transform(F.concat(F.transform(near, lambda t: t.x), F.array(label)), lambda x: F.struct(digest(x, F.lit("order")).alias("h"), x.alias("x")))
+    out = rows.where(F.col(label).isNotNull()).withColumn("choices", F.transform(F.array_sort(shown), lambda t: t.x))
+    return out.withColumn("answer", F.char(F.array_position("choices", F.col(label)) + 64))

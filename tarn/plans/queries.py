@@ -220,6 +220,9 @@ def event_windows(spark, d):
     return event_counts(_table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+from . import designs  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _QUERIES.items()}
 

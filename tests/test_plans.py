@@ -23,9 +23,54 @@ def rows(frame):
     return sorted(tuple(said(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(plans.queries()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     got = plans.queries()[name](spark, SF).toPandas()
     want = duck.sql(plans.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) > 0 and rows(got) == rows(want)
+
+
+def test_effective_rank_equals_gram_eigenvalues(spark):
+    import numpy as np
+
+    got = {r["label"]: r for r in plans.queries()["effective_rank"](spark, SF).collect()}
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    for label, part in table.groupby("label"):
+        x = np.stack(part["embedding"].to_numpy()).astype(float)
+        e = np.clip(np.linalg.eigvalsh(x @ x.T), 0, None)
+        p = e[e > 1e-12] / e.sum()
+        assert got[label]["n"] == len(x)
+        assert abs(got[label]["rank"] - np.exp(-(p * np.log(p)).sum())) < 1e-4
+        assert abs(got[label]["top_energy"] - p.max()) < 1e-5
+
+
+def test_label_questions_refuse_unbounded_labels(spark):
+    from tarn.operators import evaluation as E
+
+    rows = spark.range(20).selectExpr("id", "cast(id AS string) AS label")
+    with pytest.raises(ValueError):
+        E.label_questions(rows, "id", "label", 3, most=10)
+    nulls = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, label string")
+    got = {r["id"]: r for r in E.label_questions(nulls, "id", "label", 3).collect()}
+    assert set(got) == {1, 3} and sorted(got[1]["choices"]) == ["a", "b"] and got[1]["choices"][ord(got[1]["answer"]) - 65] == "a"
+
+
+def test_sequence_selections(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.functions import sequences as Q
+
+    row = spark.range(1).select(
+        Q.evenly(F.sequence(F.lit(0), F.lit(99)), 5).alias("five"), Q.evenly(F.sequence(F.lit(0), F.lit(4)), 1).alias("one"), Q.evenly(F.array().cast("array<int>"), 3).alias("none"),
+        Q.segments(F.sequence(F.lit(0), F.lit(4)), 2).alias("parts"), F.array_sort(Q.hash_shuffled(F.sequence(F.lit(0), F.lit(9)), F.lit("k"))).alias("same")).first()
+    assert row["five"] == [0, 25, 50, 74, 99] and row["one"] == [2] and row["none"] == []
+    assert sum(row["parts"], []) == list(range(5)) and row["same"] == list(range(10))
+
+
+def test_differences_count_copies(spark):
+    from tarn.operators import relational as R
+
+    a = spark.createDataFrame([(1,), (1,), (None,), (2,)], "k int")
+    b = spark.createDataFrame([(1,), (3,), (None,)], "k int")
+    assert sorted((r["side"], r["k"]) for r in R.differences(a, b).collect()) == [("extra", 3), ("missing", 1), ("missing", 2)]
