@@ -27,6 +27,8 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 ORDER, BETA, MODEL_GRAMS = 5, 4.0, 100_000
+#: Strings that one task scores.
+TASK_STRINGS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,10 +78,12 @@ def model(judged: DataFrame) -> DataFrame:
 
 def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
     """strings (s, distinct) -> s, score: mean over its characters of the ratio of the longest known n-gram (0: none known)."""
-    spread = _grams(strings.select("s").repartition("s"), "s")
+    # strings are few bytes beside their n-grams: a stated count keeps them from being merged into one task
+    tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-strings.count() // TASK_STRINGS))
+    spread = _grams(strings.select("s").repartition(tasks, "s"), "s")
     found = spread.join(F.broadcast(table), "gram", "left")
-    longest = found.groupBy("s", "i").agg(F.max(F.when(F.col("ratio").isNotNull(), F.struct("k", "ratio"))).alias("best"))
-    return longest.groupBy("s").agg((F.sum(F.coalesce("best.ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+    longest = found.groupBy("s", "i").agg(F.max_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("k"))).alias("ratio"))
+    return longest.groupBy("s").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
 
 
 def calibrated(scores: DataFrame) -> float:
@@ -107,7 +111,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     known = strings.where("by_rule IS NOT NULL").withColumn("accepted", F.col("by_rule") == "allow")
     fold = F.crc32("s") % 5 == 0
     table = model(known.where(~fold))
-    scores = stored(scored(strings.groupBy("s").agg(F.max("by_rule")), table), "scores")
+    scores = stored(scored(strings.select("s").distinct(), table), "scores")
     at = calibrated(known.where(fold).join(scores, "s"))
     both = rows.join(scores, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") >= at, "allow").otherwise("block")
