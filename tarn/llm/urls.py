@@ -6,7 +6,9 @@ its first character: p(g) = (n(g) + BETA * p(shorter g)) / (n(context) + BETA).
 log-likelihood difference of each character under its longest known n-gram, averaged over its length; the decision
 value is calibrated on a fifth of the ruled URLs that the models have not seen, for least balanced error.
 
-The table keeps the `MODEL_GRAMS` commonest n-grams (at most about 8 MB) and is broadcast. Counts come from all ruled URLs.
+The table keeps every n-gram of the ruled URLs outside that fifth, so it grows with them. It is broadcast while it has at
+most `BROADCAST_GRAMS` rows (about 30 MB); beyond that only its commonest rows are (each with at least 1 / `HOT_PARTS` of
+all counts, so no more than `HOT_PARTS`), which keeps hot n-grams out of the shuffle that the others join by.
 Defined results: a null URL, or one without ://, has an empty host and path and no rule; its verdict is the method's for
 the empty string. Without ruled URLs of both kinds every such verdict is allow. Repeated rows are judged each.
 """
@@ -26,7 +28,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-ORDER, BETA, MODEL_GRAMS = 5, 4.0, 100_000
+ORDER, BETA = 5, 4.0
+BROADCAST_GRAMS, HOT_PARTS = 400_000, 2_000
 #: Strings that one task scores.
 TASK_STRINGS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,23 +60,24 @@ def _grams(rows: DataFrame, s: str) -> DataFrame:
 
 
 def model(judged: DataFrame) -> DataFrame:
-    """(s, n, accepted) -> gram, ratio: the log of its probability among accepted URLs over that among rejected ones."""
+    """(s, n, accepted) -> gram, ratio, n: the log of its probability among accepted URLs over that among rejected ones; its count."""
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     counts = _grams(judged, "s").groupBy("gram").agg(n(F.col("accepted")).alias("a"), n(~F.col("accepted")).alias("r"), F.first("k").alias("k"))
-    counts = stored(counts.orderBy(F.desc(F.col("a") + F.col("r")), "gram").limit(MODEL_GRAMS), "grams")
+    counts = stored(counts, "grams")
     whole = counts.where("k = 1").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count("*").alias("t")).first()
     pa = (F.col("a") + BETA / max(1, whole.t)) / F.lit(float((whole.a or 0) + BETA))
     pr = (F.col("r") + BETA / max(1, whole.t)) / F.lit(float((whole.r or 0) + BETA))
-    level = counts.where("k = 1").select("gram", pa.alias("pa"), pr.alias("pr"))
+    total = (F.col("a") + F.col("r")).alias("n")
+    level = counts.where("k = 1").select("gram", pa.alias("pa"), pr.alias("pr"), total)
     known = level
     context = counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
     for k in range(2, ORDER + 1):
         grams = counts.where(F.col("k") == k).withColumns({"context": F.substring("gram", 1, k - 1), "shorter": F.substring("gram", 2, k - 1)})
         joined = grams.join(context, "context").join(level.select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "shorter")
-        level = joined.select("gram", ((F.col("a") + BETA * F.col("qa")) / (F.col("ca") + BETA)).alias("pa"), ((F.col("r") + BETA * F.col("qr")) / (F.col("cr") + BETA)).alias("pr"))
+        level = joined.select("gram", ((F.col("a") + BETA * F.col("qa")) / (F.col("ca") + BETA)).alias("pa"), ((F.col("r") + BETA * F.col("qr")) / (F.col("cr") + BETA)).alias("pr"), total)
         level = stored(level, f"level{k}")
         known = known.unionByName(level)
-    return stored(known.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio")), "model")
+    return stored(known.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio"), "n"), "model")
 
 
 def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
@@ -81,7 +85,14 @@ def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
     # strings are few bytes beside their n-grams: a stated count keeps them from being merged into one task
     tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-strings.count() // TASK_STRINGS))
     spread = _grams(strings.select("s").repartition(tasks, "s"), "s")
-    found = spread.join(F.broadcast(table), "gram", "left")
+    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    if size.rows <= BROADCAST_GRAMS:
+        found = spread.join(F.broadcast(table.drop("n")), "gram", "left")
+    else:
+        hot = F.col("n") >= size.n / HOT_PARTS
+        found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("ratio").alias("hot"))), "gram", "left")
+        cold = found.where("hot IS NULL").drop("hot").join(table.where(~hot).drop("n"), "gram", "left")
+        found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "ratio").unionByName(cold)
     longest = found.groupBy("s", "i").agg(F.max_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("k"))).alias("ratio"))
     return longest.groupBy("s").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
 

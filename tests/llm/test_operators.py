@@ -230,6 +230,20 @@ def test_url_model(spark):
     assert all(math.isclose(got[g], math.log(p(a, g) / p(r, g)), abs_tol=1e-9) for g in grams)
 
 
+def test_url_score_paths(spark, monkeypatch):
+    """A table too large to broadcast gives the same scores, with hot n-grams apart."""
+    from tarn.llm import urls
+
+    known = spark.createDataFrame([(f"abab/x{i % 7}", 2 + i, i % 2 == 0) for i in range(40)] + [("zab/y", 3, False)], "s string, n long, accepted boolean")
+    table = urls.model(known).cache()
+    strings = spark.createDataFrame([("abab/x3",), ("zab/q",), ("",), ("é",)], "s string")
+    whole = {r.s: round(r.score, 9) for r in urls.scored(strings, table).collect()}
+    monkeypatch.setattr(urls, "BROADCAST_GRAMS", 0)
+    for parts in (3, 20):
+        monkeypatch.setattr(urls, "HOT_PARTS", parts)
+        assert {r.s: round(r.score, 9) for r in urls.scored(strings, table).collect()} == whole
+
+
 def odd_vectors(spark, n=400):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(n)] + [(500, None), (600, []), (700, [1.0, None]), (800, [float("nan")] * 8), (900, [0.0] * 8), (1000, [1.0, 2.0])]
