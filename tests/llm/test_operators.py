@@ -303,6 +303,19 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op5_exact_topk", "op10_substring_dedup"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tarn.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
