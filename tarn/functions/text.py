@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def option_label(place: Column) -> Column:
@@ -52,3 +56,14 @@ def restored(choices: Column, order: Column) -> Column:
 
 def percent_text(part: Column, whole: Column) -> Column:
     return F.format_string("%.1f%%", F.when(whole == 0, 0.0).otherwise(100.0 * part / whole))
+
+
+@F.pandas_udf(StringType())
+def semantic_text(texts: pd.Series) -> pd.Series:
+    """Compatibility normal form (NFKC), full case folding, white space collapsed; blank is null. Arrow batches: Spark has neither form."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) or None)
+
+
+def time_text(seconds: Column) -> Column:
+    """Seconds with at most three decimals, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.3f", seconds.cast("double")), r"\.?0+$", "")

@@ -5,7 +5,7 @@ import pytest
 from tarn.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,18 @@ def test_differences_count_copies(spark):
     a = spark.createDataFrame([(1,), (1,), (None,), (2,)], "k int")
     b = spark.createDataFrame([(1,), (3,), (None,)], "k int")
     assert sorted((r["side"], r["k"]) for r in R.differences(a, b).collect()) == [("extra", 3), ("missing", 1), ("missing", 2)]
+
+
+def test_semantic_text_folds_compatibility_forms(spark):
+    from tarn.functions import text
+
+    rows = spark.createDataFrame([(1, "\uff21\ufb01  Stra\u00dfe\t"), (2, " \u00a0 "), (3, None)], "id int, t string")
+    assert {r["id"]: r["s"] for r in rows.select("id", text.semantic_text("t").alias("s")).collect()} == {1: "afi strasse", 2: None, 3: None}
+
+
+def test_first_exchange_without_sides(spark):
+    from tarn.operators import records as C
+
+    rows = spark.createDataFrame([(1, 2, "user", "b"), (1, 1, "user", " <image>a "), (2, 1, "system", "s"), (3, 1, "assistant", None)], "c int, n int, r string, t string")
+    got = {r["c"]: (r["question"], r["answer"]) for r in C.first_exchange(rows, "c", "n", "r", "t").collect()}
+    assert got == {1: ("a", None), 2: (None, None), 3: (None, None)}
