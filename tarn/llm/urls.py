@@ -3,8 +3,10 @@
 Two variable-order Markov models over characters, of URLs that the rules accept and that they reject, share one table of
 n-grams up to `ORDER` characters. An n-gram's probability given its context is smoothed with that of the n-gram without
 its first character: p(g) = (n(g) + BETA * p(shorter g)) / (n(context) + BETA). A URL (host and path) is scored by the
-log-likelihood difference of each character under its longest known n-gram, averaged over its length; the decision
-value is calibrated on a fifth of the ruled URLs that the models have not seen, for least balanced error.
+log-likelihood difference of its characters, averaged over its length: for each, the ratio of its longest known n-gram,
+and for every longer context that is known (the empty one of a character never seen, too) the factor
+BETA / (n(context) + BETA) by which both models step down to the shorter one. The decision value is calibrated on a
+fifth of the ruled URLs that the models have not seen, for least balanced error.
 
 The table keeps every n-gram of the ruled URLs outside that fifth, so it grows with them. It is broadcast while it has at
 most `BROADCAST_GRAMS` rows (about 30 MB); beyond that only its commonest rows are (each with at least 1 / `HOT_PARTS` of
@@ -15,7 +17,7 @@ the empty string. Without ruled URLs of both kinds every such verdict is allow.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -60,47 +62,55 @@ def _grams(rows: DataFrame, s: str) -> DataFrame:
 
 
 def model(judged: DataFrame) -> DataFrame:
-    """(s, n, accepted) -> gram, ratio, n: the log of its probability among accepted URLs over that among rejected ones; its count."""
+    """(s, n, accepted) -> gram, ratio, n, a, r: the log of its probability among accepted URLs over that among rejected ones; its counts in all, in accepted and in rejected ones."""
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     counts = _grams(judged, "s").groupBy("gram").agg(n(F.col("accepted")).alias("a"), n(~F.col("accepted")).alias("r"), F.first("k").alias("k"))
     counts = stored(counts, "grams")
     whole = counts.where("k = 1").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count("*").alias("t")).first()
     pa = (F.col("a") + BETA / max(1, whole.t)) / F.lit(float((whole.a or 0) + BETA))
     pr = (F.col("r") + BETA / max(1, whole.t)) / F.lit(float((whole.r or 0) + BETA))
-    total = (F.col("a") + F.col("r")).alias("n")
-    level = counts.where("k = 1").select("gram", pa.alias("pa"), pr.alias("pr"), total)
+    total = [(F.col("a") + F.col("r")).alias("n"), "a", "r"]
+    level = counts.where("k = 1").select("gram", pa.alias("pa"), pr.alias("pr"), *total)
     known = level
     context = counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
     for k in range(2, ORDER + 1):
         grams = counts.where(F.col("k") == k).withColumns({"context": F.substring("gram", 1, k - 1), "shorter": F.substring("gram", 2, k - 1)})
         joined = grams.join(context, "context").join(level.select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "shorter")
-        level = joined.select("gram", ((F.col("a") + BETA * F.col("qa")) / (F.col("ca") + BETA)).alias("pa"), ((F.col("r") + BETA * F.col("qr")) / (F.col("cr") + BETA)).alias("pr"), total)
+        level = joined.select("gram", ((F.col("a") + BETA * F.col("qa")) / (F.col("ca") + BETA)).alias("pa"), ((F.col("r") + BETA * F.col("qr")) / (F.col("cr") + BETA)).alias("pr"), *total)
         level = stored(level, f"level{k}")
         known = known.unionByName(level)
-    return stored(known.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio"), "n"), "model")
+    return stored(known.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio"), "n", "a", "r"), "model")
 
 
 def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
-    """strings (s, distinct) -> s, score: mean over its characters of the ratio of the longest known n-gram (0: none known)."""
+    """strings (s, distinct) -> s, score: mean over its characters of the log-likelihood difference (0: empty string or table)."""
     # strings are few bytes beside their n-grams: a stated count keeps them from being merged into one task
     tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-strings.count() // TASK_STRINGS))
     spread = _grams(strings.select("s").repartition(tasks, "s"), "s")
-    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    letter = lambda c: F.sum(F.when(F.length("gram") == 1, F.col(c)).otherwise(0)).alias(c)
+    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), letter("a"), letter("r")).first()
+    escape = lambda a, r: F.ln(r + F.lit(BETA)) - F.ln(a + F.lit(BETA))
+    table = table.select("gram", "n", F.struct("ratio", escape(F.col("a"), F.col("r")).alias("escape")).alias("known"))
     if size.rows <= BROADCAST_GRAMS:
         found = spread.join(F.broadcast(table.drop("n")), "gram", "left")
     else:
         hot = F.col("n") >= size.n / HOT_PARTS
-        found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("ratio").alias("hot"))), "gram", "left")
+        found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("known").alias("hot"))), "gram", "left")
         cold = found.where("hot IS NULL").drop("hot").join(table.where(~hot).drop("n"), "gram", "left")
-        found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "ratio").unionByName(cold)
-    longest = found.groupBy("s", "i").agg(F.max_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("k"))).alias("ratio"))
-    return longest.groupBy("s").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+        found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "known").unionByName(cold)
+    longest = F.when(F.col("known").isNotNull(), F.col("k"))
+    ends = [F.max(F.when(F.col("k") == c, F.col("known.escape"))).alias(f"e{c}") for c in range(1, ORDER)]
+    places = found.groupBy("s", "i").agg(F.max(longest).alias("k"), F.max_by("known.ratio", longest).alias("ratio"), *ends)
+    # the contexts of a character are the n-grams that end before it
+    before = Window.partitionBy("s").orderBy("i")
+    places = places.select("s", "k", "ratio", *(F.lag(f"e{c}").over(before).alias(f"e{c}") for c in range(1, ORDER)))
+    longer = sum(F.when(F.coalesce("k", F.lit(0)) <= c, F.coalesce(f"e{c}", F.lit(0.0))).otherwise(0.0) for c in range(1, ORDER))
+    unseen = escape(F.lit(float(size.a or 0)), F.lit(float(size.r or 0)))
+    return places.groupBy("s").agg((F.sum(F.coalesce("ratio", unseen) + longer) / F.count("*")).alias("score"))
 
 
 def calibrated(scores: DataFrame) -> float:
     """(score, n, accepted) -> the decision value with least balanced error; 0 without both kinds. Bins of a hundredth."""
-    from pyspark.sql import Window
-
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     bins = scores.groupBy(F.round("score", 2).alias("bin")).agg(n(F.col("accepted")).alias("a"), n(~F.col("accepted")).alias("r")).where("bin BETWEEN -40 AND 40")
     sums = bins.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()

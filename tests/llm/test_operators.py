@@ -230,6 +230,44 @@ def test_url_model(spark):
     assert all(math.isclose(got[g], math.log(p(a, g) / p(r, g)), abs_tol=1e-9) for g in grams)
 
 
+def test_url_likelihood(spark):
+    """Score and verdict against both models computed in full, with n-grams, contexts and characters never seen."""
+    import math
+
+    from tarn.llm import urls
+
+    urls_seen = [f"http://{h}{p}{i}" for i in range(40) for h, p in (("a.com", "/fr/"), ("b.com", "/de/x"), ("c.org", "/zz"), ("example.org", "/en/1"))]
+    free = ["http://a.net/de/x1", "http://b.com/frde", "http://example.com/en/1", "http://q.net/\u00e9", "http://com", "x", "http://ab.net/fr/7"]
+    pages = spark.createDataFrame(list(enumerate(urls_seen + free)), "page_id long, url string")
+    got = urls.judged(pages).collect()
+    counts = {True: collections.Counter(), False: collections.Counter()}
+    known = [(r.host + r.path, r.verdict == "allow") for r in got if r.rule]
+    held = lambda s: zlib.crc32(s.encode()) % 5 == 0
+    for s, accepted in known:
+        for i in range(1, len(s) + 1):
+            for k in range(1, min(i, urls.ORDER) + 1):
+                counts[accepted][s[i - k : i]] += not held(s)
+    seen = {g for c in counts.values() for g, n in c.items() if n}
+    letters = [g for g in seen if len(g) == 1]
+
+    def p(c, g):
+        if len(g) == 1:
+            return (c[g] + urls.BETA / len(letters)) / (sum(c[x] for x in letters) + urls.BETA)
+        return (c[g] + urls.BETA * p(c, g[1:])) / (c[g[:-1]] + urls.BETA)
+
+    def score(s):
+        grams = [s[max(0, i - urls.ORDER) : i] for i in range(1, len(s) + 1)]
+        return sum(math.log(p(counts[True], g) / p(counts[False], g)) for g in grams) / max(1, len(s))
+
+    assert any(r.path and r.path[-1] not in letters for r in got)
+    assert all(abs(r.score - score(r.host + r.path)) < 1e-6 for r in got)
+    tests = [(math.copysign(math.floor(abs(x) * 100 + 0.5), x) / 100, accepted) for s, accepted in known if held(s) for x in [score(s)]]
+    n = [max(1, sum(a == accepted for _, a in tests)) for accepted in (False, True)]
+    error = lambda b: round(sum(a and x < b for x, a in tests) / n[1] + sum(not a and x >= b for x, a in tests) / n[0], 9)
+    at = min({x for x, _ in tests}, key=lambda b: (error(b), abs(b), b)) - 0.005
+    assert [r.verdict for r in got if not r.rule] == ["allow" if score(r.host + r.path) >= at else "block" for r in got if not r.rule]
+
+
 def test_url_score_paths(spark, monkeypatch):
     """A table too large to broadcast gives the same scores, with hot n-grams apart."""
     from tarn.llm import urls
