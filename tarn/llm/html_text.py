@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block. A line's length is its text outside links; lines of page furniture
 (menus, headers, footers, side bars, forms, adverts, notices, reader comments) count as empty. Lengths are summed over
 windows of `WINDOW` lines; the text surges where the sum rises over the threshold and dives where it falls to nothing,
-and the lines in between are kept. Where the page marks its article, lines outside it count as empty too and any text
+and the lines between every surge and its dive are kept. Where the page marks its article, lines outside it count as empty too and any text
 is a surge, so short paragraphs stay; without marks the surge must reach `SURGE` characters.
 
 Defined results: a null page, or one without such text, gives an empty string; unclosed or cut off markup ends with the
@@ -116,7 +116,6 @@ def main_text(page: str | None) -> str:
     n, least = len(size), 1 if marked else SURGE
     sums = [sum(size[i : i + WINDOW]) for i in range(n)]
     kept: list[str] = []
-    best: list[str] = []
     i = 0
     while i < n:
         if sums[i] < least or not size[i]:
@@ -125,11 +124,9 @@ def main_text(page: str | None) -> str:
         j = i  # the surge; its dive is where a whole window is empty
         while j < n and sums[j] > 0:
             j += 1
-        region = [rows[k][0] for k in range(i, j) if size[k]]
-        kept += region
-        best = max(best, region, key=lambda r: sum(map(len, r)))
+        kept += [rows[k][0] for k in range(i, j) if size[k]]
         i = max(j, i + 1)
-    return " ".join(kept if marked else best)
+    return " ".join(kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

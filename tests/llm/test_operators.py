@@ -190,6 +190,16 @@ def test_html(spark):
     assert html_text.main_text("<main><p>a &lt;b&gt; &am c&amp<!-- x --></p><script>var p='</p>'</script><form>f</form></main>") == "a <b> &am c&"
 
 
+def test_html_interrupted():
+    """An unmarked article goes on after furniture and link-only lines, as often as they come."""
+    from tarn.llm import html_text
+
+    parts = [f"Part {i} of a text that runs on for well over the number of characters that a surge must reach, as articles do. " * (1 + i % 2) for i in range(4)]
+    breaks = ["<div class=advert>Buy</div>" * 3 + "<div class=share>Tell others</div>", "<p><a href=x>More of it</a></p>" * 4, "<nav>a<br>b<br>c<br>d</nav>"]
+    page = "<body>" + "".join(f"<p>{a}</p>{b}" for a, b in zip(parts, [*breaks, ""])) + "</body>"
+    assert html_text.main_text(page) == " ".join(x.strip() for x in parts)
+
+
 def test_urls(spark):
     from tarn.llm import urls
 
