@@ -1,7 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block. A line's length is its text outside links; lines of page furniture
-(menus, headers, footers, side bars, forms, adverts, notices, reader comments) count as empty. Lengths are summed over
+(menus, headers, footers, side bars, forms, adverts, notices, reader comments) and hidden ones count as empty. Furniture
+goes by tags and names, hidden is the attribute, aria-hidden=true or the style; body, main and article are neither, nor
+is an element that holds the page's marked article (the longest one, where there are several). Lengths are summed over
 windows of `WINDOW` lines; the text surges where the sum rises over the threshold and dives where it falls to nothing,
 and the lines between every surge and its dive are kept. Where the page marks its article, lines outside it count as empty too and any text
 is a surge, so short paragraphs stay; without marks the surge must reach `SURGE` characters.
@@ -30,30 +32,35 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _FURNITURE = frozenset("nav footer aside form dialog menu head".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-_NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NAMES = ("class", "id", "role", "itemprop", "aria-label")
+_STATE = re.compile(r"(?<![a-z0-9])(?:has|no|not|with|without)[-_][\w-]*", re.I)  # says what an element has, not what it is
 _FURNITURE_NAME = re.compile(
     r"(?:^|[\s\"'_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|popup|modal|overlay|newsletter|subscribe|"
     r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|footer|masthead|site-header|page-header|share|sharing|social|related|recommended|"
     r"comments?|disqus|respond|replies|toolbar|widget|complementary|contentinfo|search|login|gdpr)(?=$|[\s\"'_-])",
     re.I,
 )
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_CONTENT = frozenset("html body main article".split())
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, length outside links, furniture, inside the marked article) of every block that has text."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    out: list[tuple[str, int, tuple[int, ...], int]] = []
+    stack: list[tuple[str, tuple[int, ...], int]] = []  # name; furniture and article outside it
     held: list[str] = []
     free = 0
-    link = furniture = article = 0
+    link = article = 0  # article: the place of the outermost mark
+    furniture: tuple[int, ...] = ()  # the places of the furniture elements that are open
+    around: dict[int, tuple[int, ...]] = {}  # the furniture around each outermost mark
 
     def end() -> None:
         nonlocal free
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, free, furniture > 0, article > 0))
+                out.append((text, free, furniture, article))
             held.clear()
         free = 0
 
@@ -77,9 +84,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[2]:
             if any(n == name for n, _, _ in stack):
                 while stack:
-                    n, f, a = stack.pop()
-                    furniture -= f
-                    article -= a
+                    n, furniture, article = stack.pop()
                     if n == name:
                         break
                 link = 0
@@ -88,23 +93,33 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if attrs.endswith("/"):
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            _, f, a = stack.pop()
-            furniture -= f
-            article -= a
+            _, furniture, article = stack.pop()
         mark = name in ("article", "main")
-        named = " ".join(x.strip("\"'") for x in _NAMED.findall(attrs)) if attrs else ""
-        odd = name in _FURNITURE or (name == "header" and not article) or bool(attrs and _HIDDEN.search(attrs))
-        odd = odd or bool(named and name not in ("body", "html", "article", "main") and _FURNITURE_NAME.search(named))
+        given = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(attrs))} if attrs else {}
+        named = " ".join(given[k] for k in _NAMES if k in given)
+        odd = name in _FURNITURE or (name == "header" and not article)
+        if given and name not in _CONTENT:
+            hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(given.get("style", ""))
+            odd = odd or bool(hidden or _FURNITURE_NAME.search(_STATE.sub("", named)))
         mark = mark or (bool(named) and re.search(r"\bmain\b|articleBody|article-body|entry-content|post-content", named) is not None and not odd)
-        stack.append((name, odd, mark))
-        furniture += odd
-        article += mark
+        stack.append((name, furniture, article))
+        if odd:
+            furniture = (*furniture, m.start() + 1)
+        if mark and not article:
+            article = m.start() + 1
+            around[article] = furniture
     if at < len(page):
         rest = page[at:]
         held.append(rest)
         free += 0 if link else len(rest.strip())
     end()
-    return out
+    # the longest marked article is the page's: what holds it is neither hidden nor furniture
+    size: dict[int, int] = {}
+    for text, _, f, a in out:
+        if a and f == around[a]:
+            size[a] = size.get(a, 0) + len(text)
+    spared = set(around[max(size, key=size.__getitem__)]) if size else set()
+    return [(text, n, not spared.issuperset(f), a > 0) for text, n, f, a in out]
 
 
 def main_text(page: str | None) -> str:

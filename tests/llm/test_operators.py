@@ -200,6 +200,30 @@ def test_html_interrupted():
     assert html_text.main_text(page) == " ".join(x.strip() for x in parts)
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='overflow-hidden'", "div aria-hidden='false'", "div class='layout has-sidebar'", "div class='content no-banner'", "section class='content-with-sidebar'", "div data-state=hidden",
+    "div data-id='share'",
+])
+def test_html_wrappers(wrapper):
+    from tarn.llm import html_text
+
+    text = "Plain words that run on and on in a paragraph of the page, so that they are a surge without a mark as well."
+    inner = f"<p>{text}</p><div class='has-x share'>Share it</div><div hidden>not shown</div><p aria-hidden=true>nor this</p><p style='color:red; display : none'>nor that</p>"
+    close = f"</{wrapper.split()[0]}>"
+    assert html_text.main_text(f"<body><{wrapper}>{inner}{close}</body>") == text
+    assert html_text.main_text(f"<body><{wrapper}><article>{inner}</article>{close}</body>") == text
+
+
+def test_html_marked_article():
+    """Nothing that holds the marked article hides it; what it holds and other articles' furniture still count."""
+    from tarn.llm import html_text
+
+    text = "A paragraph of the article that is longer than the others."
+    for tag in ("body style='visibility:hidden'", "main aria-hidden=true", "article hidden", "div class=sidebar", "form id=search"):
+        page = f"<{tag}><article><p>{text}</p><div class=advert>Buy</div><div hidden>no</div></article></{tag.split()[0]}><div id=comments><article>Mine.</article></div>"
+        assert html_text.main_text(page) == text, tag
+
+
 def test_urls(spark):
     from tarn.llm import urls
 
