@@ -3,12 +3,13 @@
 A vector is approximated by the sum of one full-dimensional word from each of `BOOKS` codebooks. The books are fitted as
 residual k-means on a bounded sample (`SAMPLE` vectors, by hash of the id) and every row is encoded by beam search. The
 index row holds the codes and the squared norm of the approximation. A query builds a table of its inner products with
-all words; |q - x|^2 is |q|^2 - 2 * sum of table entries + stored norm. The `RERANK` best of each shard are measured
-again on the original vectors, in double precision.
+all words; |q - x|^2 is |q|^2 - 2 * sum of table entries + stored norm. The best of each shard are measured again on the
+original vectors, in double precision: one row in `RERANK_SHARE`, `RERANK` at least, so that the part does not shrink
+as shards grow.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; a query meets
 only vectors of its own length, and not its own id; of rows that share an id the smallest vector counts. Lengths that
-the sample lacks get books of zeros, so all their vectors tie and the exact rerank decides among RERANK of a shard.
+the sample lacks get books of zeros, so all their vectors tie and the exact rerank decides among those of a shard that it takes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .grid import QUERY_EVERY, TOP, best, crossed, same_length, stored, valid
 
-BOOKS, WORDS, BEAM = 8, 64, 4
-SAMPLE, RERANK, ROUNDS = 8192, 224, 8
+BOOKS, WORDS, BEAM = 16, 64, 4
+SAMPLE, RERANK, RERANK_SHARE, ROUNDS = 8192, 224, 32, 8
+RERANK_CELLS = 256 * 224  # (query, row) pairs measured again at once
 
 
 def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -86,20 +88,21 @@ def _scorer(books: dict[int, np.ndarray]):
             codes = np.frombuffer(b"".join(s["codes"]), np.uint8).reshape(len(s), BOOKS)
             ids, norm, qid = s["vec_id"].to_numpy(), s["norm"].to_numpy(), q["vec_id"].to_numpy()
             tie = np.arange(len(ids)) * 1e-12 * max(1e-300, norm.max())  # equal approximations by vec_id
-            for lo in range(0, len(q), 256):
-                part = qm[lo : lo + 256]
+            r = min(max(RERANK, -(-len(ids) // RERANK_SHARE)), len(ids))
+            step = max(1, min(256, RERANK_CELLS // r))
+            for lo in range(0, len(q), step):
+                part = qm[lo : lo + step]
                 near = np.repeat((norm + tie)[None], len(part), 0)
                 for m in range(BOOKS):
                     near -= 2 * (part @ own_books[m].T)[:, codes[:, m]]
-                near[qid[lo : lo + 256][:, None] == ids[None]] = np.inf
-                r = min(RERANK, len(ids))
+                near[qid[lo : lo + step][:, None] == ids[None]] = np.inf
                 pick = np.argpartition(near, r - 1, 1)[:, :r]
                 exact = np.sqrt(((part[:, None, :] - sm[pick]) ** 2).sum(2))
                 exact[np.isinf(np.take_along_axis(near, pick, 1))] = np.inf
                 order = np.lexsort((ids[pick], exact))[:, :TOP]
                 pick, exact = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
                 keep = np.isfinite(exact)
-                out.append(pd.DataFrame({"query_id": np.repeat(qid[lo : lo + 256], keep.sum(1)), "vec_id": ids[pick[keep]], "score": exact[keep]}))
+                out.append(pd.DataFrame({"query_id": np.repeat(qid[lo : lo + step], keep.sum(1)), "vec_id": ids[pick[keep]], "score": exact[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, int), "vec_id": np.zeros(0, int), "score": np.zeros(0)})
 
     return score

@@ -360,6 +360,21 @@ def test_ann(spark):
     assert hits >= 9 * len(queries)
 
 
+def test_ann_large_shard():
+    """In a shard of many nearly isotropic vectors the codes rank as well as in a small one."""
+    import pandas as pd
+
+    from tarn.llm import ann
+
+    x = np.random.default_rng(5).normal(0, 1, (16_384, 64))
+    books = {64: ann.fit(x[:8192])}
+    shard = next(ann._encoder(books)([pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})]))
+    got = ann._scorer(books)(shard.iloc[:100], shard).groupby("query_id")["vec_id"].agg(set)
+    d = (x**2).sum(1) - 2 * x[:100] @ x.T
+    d[np.arange(100), np.arange(100)] = np.inf
+    assert sum(len(got[q] & set(np.argsort(d[q])[:10])) for q in range(100)) >= 950
+
+
 def test_language(spark):
     from tarn.llm import langid
 
