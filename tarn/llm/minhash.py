@@ -6,26 +6,27 @@ word sequence; documents without words have an empty set and link with nothing.
 
 Method
 1. Equal sets (128-bit sums over the set and its size) are linked to their smallest doc_id; one of them goes on.
-2. The forest has `TREES` trees. A tree orders documents by `DEEP` of their MinHash values; documents with a common
-   prefix of `SHALLOW` values are a region. In a region of at most `SMALL` members all pairs are candidates. In a
+2. The forest has as many trees as `shape` gives for percent. A tree orders documents by `DEEP` of their MinHash values; documents with a common
+   prefix of `shallow` values are a region. In a region of at most `SMALL` members all pairs are candidates. In a
    larger one depth adapts: longest-common-prefix neighbours of the sorted order, each member with the first of every
    deeper prefix it lies in, and with the few members nearest to the region's consensus (the text the others were
    copied from, as a rule), so candidates stay in proportion to members.
-   A sketch of two bits for each of the 128 values discards candidates far below the threshold (over four standard
-   deviations).
+   A sketch of two bits for each of the values discards candidates far below the threshold (over four standard
+   deviations; `agreement`).
 3. Candidates are joined with both texts and confirmed on full sets; confirmed links give components.
 4. Members of larger regions that ended in different components are compared again, each with every member of the
    other components in its region, so adaptive depth loses no link between them. A document whose set has too many
    shingles that none of the others has cannot link with any and is left out of this step, and a sketch of WIDE
    values (again over four standard deviations) keeps pairs below the threshold from being confirmed in vain.
 
-At the threshold itself (similarity 0.85) a pair shares no region in any tree with probability 7e-6, less above it.
+At the threshold itself a pair shares no region in any tree with probability `MISS` at most, less above it.
 Defined results: null doc_id: no part, no component, kept; rows that share a doc_id are one document with the union of
 their links; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,17 +40,31 @@ from .graph import connected_components
 from .words import Runs, word_hashes
 
 K = 5
-TREES, SHALLOW, DEEP = 16, 4, 8
-HASHES = TREES * DEEP
+MISS, TREES, MOST_TREES, SHALLOW, DEEP = 7.5e-6, 16, 32, 4, 8
 SMALL = 16
 CENTRES = 4
-SKETCH_AGREE = 0.75  # share of equal 2-bit values; 0.8875 is expected at 0.85, with a standard deviation of 0.028
-WIDE, WIDE_AGREE = 1024, 0.843  # the longer sketch of the last step: a standard deviation of 0.0099 at 0.85
+SKETCH_SD = 4.93  # how many standard deviations below the expected agreement at the threshold a sketch may be
+WIDE, WIDE_SD = 1024, 4.5  # the longer sketch of the last step
 BROADCAST_IDS = 2_000_000  # document ids broadcast at most: 16 MB
-_MUL, _ADD = seeded(HASHES, 2) | U64(1), seeded(HASHES, 3)
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, sig binary"
 
 
+def shape(percent: int) -> tuple[int, int]:
+    """(trees, shallow): trees of which a pair at the threshold shares no region with probability MISS at most."""
+    for shallow in range(SHALLOW, 0, -1):
+        apart = 1 - min(0.99, percent / 100) ** shallow
+        trees = math.ceil(math.log(MISS) / math.log(apart))
+        if trees <= MOST_TREES:
+            break
+    return max(TREES, trees), shallow  # 85: 16 trees of 4 values, 80: 23 of 4
+
+
+def agreement(percent: int, values: int, deviations: float) -> float:
+    """Least share of equal 2-bit values: so many standard deviations below the one expected at the threshold."""
+    expected = percent / 100 + (1 - percent / 100) / 4
+    return expected - deviations * math.sqrt(expected * (1 - expected) / values)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     for b in batches:
         step = max(1, int(b.num_rows * limit // max(limit, b.nbytes)))
@@ -74,45 +89,52 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return s[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))]).astype(np.int64)
 
 
-def _signatures(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """uint32 (texts, HASHES); texts with an empty set get zeros."""
-    out = np.zeros((len(offs) - 1, HASHES), np.uint32)
+def _signatures(s: np.ndarray, offs: np.ndarray, hashes: int) -> np.ndarray:
+    """uint32 (texts, hashes); texts with an empty set get zeros."""
+    mul, add = seeded(hashes, 2) | U64(1), seeded(hashes, 3)
+    out = np.zeros((len(offs) - 1, hashes), np.uint32)
     some = np.flatnonzero(np.diff(offs))
     if len(some):
-        for j in range(HASHES):
-            out[some, j] = np.minimum.reduceat(((s * _MUL[j] + _ADD[j]) >> U64(32)).astype(np.uint32), offs[some])
+        for j in range(hashes):
+            out[some, j] = np.minimum.reduceat(((s * mul[j] + add[j]) >> U64(32)).astype(np.uint32), offs[some])
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _texts(batches):
-        s, offs = shingle_sets(b["text"])
-        sig = _signatures(s, offs)
-        sums = []
-        for seed in (U64(0x9E6C63D0876A9A47), U64(0x1B873593CC9E2D51)):
-            total = np.zeros(len(s) + 1, U64)
-            np.cumsum(mixed(s ^ seed), out=total[1:])
-            sums.append(as_long(total[offs[1:]] - total[offs[:-1]]))
-        yield pa.record_batch([b["doc_id"], pa.array(np.diff(offs)), *sums, pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+def _sets(hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _texts(batches):
+            s, offs = shingle_sets(b["text"])
+            sig = _signatures(s, offs, hashes)
+            sums = []
+            for seed in (U64(0x9E6C63D0876A9A47), U64(0x1B873593CC9E2D51)):
+                total = np.zeros(len(s) + 1, U64)
+                np.cumsum(mixed(s ^ seed), out=total[1:])
+                sums.append(as_long(total[offs[1:]] - total[offs[:-1]]))
+            yield pa.record_batch([b["doc_id"], pa.array(np.diff(offs)), *sums, pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+
+    return run
 
 
 FOREST = "region long, deep binary, doc_id long, n int, sketch binary"
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
-            two = (sig & 3).astype(np.uint8)
-            sketch = [x.tobytes() for x in (two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6)]
-            n = pc.cast(b["n_shingles"], pa.int32())
-            for t in range(TREES):
-                part = np.ascontiguousarray(sig[:, t * DEEP : (t + 1) * DEEP])
-                key = np.full(len(part), U64(t + 1))
-                for j in range(SHALLOW):
-                    key = mixed(key * U64(0x9E3779B97F4A7C15) + part[:, j])
-                deep = [x.tobytes() for x in part[:, SHALLOW:].astype(">u4")]
-                yield pa.record_batch([as_long(key), pa.array(deep, pa.binary()), b["doc_id"], n, pa.array(sketch, pa.binary())], names=["region", "deep", "doc_id", "n", "sketch"])
+def _forest(trees: int, shallow: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(-1, trees * DEEP)
+                two = (sig & 3).astype(np.uint8)
+                sketch = [x.tobytes() for x in (two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6)]
+                n = pc.cast(b["n_shingles"], pa.int32())
+                for t in range(trees):
+                    part = np.ascontiguousarray(sig[:, t * DEEP : (t + 1) * DEEP])
+                    key = np.full(len(part), U64(t + 1))
+                    for j in range(shallow):
+                        key = mixed(key * U64(0x9E3779B97F4A7C15) + part[:, j])
+                    deep = [x.tobytes() for x in part[:, shallow:].astype(">u4")]
+                    yield pa.record_batch([as_long(key), pa.array(deep, pa.binary()), b["doc_id"], n, pa.array(sketch, pa.binary())], names=["region", "deep", "doc_id", "n", "sketch"])
+
+    return run
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -141,7 +163,8 @@ def _crowded(t: pa.Table) -> pa.Table:
 _AGREE = np.array([sum((x >> s) & 3 == 0 for s in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
 
-def _close(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, least: float = SKETCH_AGREE) -> np.ndarray:
+def _close(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, deviations: float = SKETCH_SD) -> np.ndarray:
+    least = agreement(percent, 4 * sketch.shape[1], deviations)
     keep = np.zeros(len(i), bool)
     for lo in range(0, len(i), 16384):
         a, b = i[lo : lo + 16384], j[lo : lo + 16384]
@@ -265,7 +288,7 @@ def _between(percent: int):
                 for x in np.flatnonzero(count[inverse] < count.max()) if (count == count.max()).sum() == 1 else range(hi - lo):
                     others = np.flatnonzero(rank > rank[x])  # smaller components look at larger ones, each pair once
                     i, j = np.full(len(others), lo + x), lo + others
-                    keep = _close(sketch, n, i, j, percent, WIDE_AGREE)
+                    keep = _close(sketch, n, i, j, percent, WIDE_SD)
                     most = np.minimum(common[i], common[j])
                     keep &= 100 * most >= percent * (n[i] + n[j] - most)
                     if keep.any():
@@ -311,16 +334,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> D
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sets = stored(texts.mapInArrow(_sets, SETS), "sets")
+    sets = stored(texts.mapInArrow(_sets(shape(percent)[0] * DEEP), SETS), "sets")
     full = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     group = ["s1", "s2", "n_shingles"]
     reps = stored(full.groupBy(*group).agg(F.min("doc_id").alias("rep")), "classes")
     copies = full.select(*group, "doc_id").join(reps.hint("merge"), group).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     copies = stored(copies, "copies")
-    # one row for each class; sets of under six shingles that differ are never similar enough at 0.85
+    # one row for each class; sets of under six shingles that differ are never similar enough at 0.85, of under four at 0.8
     least = 1 if percent < 80 else 100 // (100 - percent) - 1
     heads = full.where(F.col("n_shingles") >= max(1, least)).join(reps.select(*group, F.col("rep").alias("doc_id")).hint("merge"), [*group, "doc_id"], "left_semi").dropDuplicates(["doc_id", *group])
-    forest = heads.select("doc_id", "n_shingles", "sig").mapInArrow(_forest, FOREST)
+    forest = heads.select("doc_id", "n_shingles", "sig").mapInArrow(_forest(*shape(percent)), FOREST)
     found = forest.repartition("region").sortWithinPartitions("region", "deep", "doc_id").mapInArrow(_candidates(percent), PAIRS)
     found = stored(found, "candidates")
     pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")

@@ -97,6 +97,61 @@ def test_minhash(spark):
     assert kept.columns == table(spark, texts).columns and {r.doc_id for r in kept.collect()} == {d for d, x in got.items() if x[2]}
 
 
+def edited(base, edits, seed):
+    """base with so many words replaced, each in five shingles of its own."""
+    w = list(base)
+    for i in np.random.default_rng(seed).choice((len(w) - 9) // 6, edits, replace=False):
+        w[6 * i + 4] = f"e{seed}x{i}"
+    return " ".join(w)
+
+
+def test_near_dedup_at_80(spark):
+    """Links at 0.8, in pairs and in a large region, as brute force finds them."""
+    from tarn.llm import minhash
+
+    texts = ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q", "k l m n o p q r"]
+    for b in range(30):
+        base = [f"b{b}w{i}" for i in range(454)]
+        texts += [" ".join(base), edited(base, 8 + b % 4, b)]  # similarities 0.84, 0.82, 0.8 and 0.78
+    texts += [edited([f"z{i}" for i in range(454)], 5, 100 + k) for k in range(40)]
+    docs = table(spark, texts)
+    want = components(texts, 80)
+    assert sum(x[2] for x in want.values()) < sum(x[2] for x in components(texts).values())
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs, 80).collect()} == want
+    assert {r.doc_id for r in minhash.one_of_each(docs, 80).collect()} == {d for d, x in want.items() if x[2]}
+
+
+def test_near_dedup_between_at_80():
+    """The step between components keeps pairs of a similarity of 0.8."""
+    import pyarrow as pa
+
+    from tarn.llm import minhash
+
+    texts = []
+    for b in range(200):
+        base = [f"b{b}w{i}" for i in range(454)]
+        texts += [" ".join(base), edited(base, 10, b)]  # 400 common shingles of 500
+    ids = np.arange(len(texts))
+    wide = pa.Table.from_batches(minhash._wide([pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])])).combine_chunks()
+    rows = pa.table({"region": ids // 2, "component": ids, "doc_id": ids, "n": np.full(len(ids), 450), "common": np.full(len(ids), 400), "sketch": wide["sketch"]}).combine_chunks()
+    found = [p for out in minhash._between(80)(iter(rows.to_batches())) for p in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    assert sorted(found) == [(i, i + 1) for i in range(0, len(ids), 2)]
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95, 100])
+def test_near_dedup_bounds(percent):
+    """A pair at the threshold is missed by the forest and dropped by a sketch as seldom at every percent; 85 is as it was."""
+    from tarn.llm import minhash
+
+    trees, shallow = minhash.shape(percent)
+    assert (1 - min(0.99, percent / 100) ** shallow) ** trees <= minhash.MISS
+    assert percent != 85 or (trees, shallow) == (16, 4)
+    rng = np.random.default_rng(percent)
+    for values, deviations in ((trees * minhash.DEEP, minhash.SKETCH_SD), (minhash.WIDE, minhash.WIDE_SD)):
+        agree = rng.binomial(values, percent / 100 + (1 - percent / 100) / 4, 20_000)
+        assert (agree < values * minhash.agreement(percent, values, deviations)).mean() <= 2e-4
+
+
 def test_empty_tables(spark):
     from tarn.llm import ann, bpe, html_text, langid, minhash, packing, pii, substr, topk, urls
 
