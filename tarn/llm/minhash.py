@@ -302,8 +302,10 @@ def _confirm(percent: int):
         for b in _texts(batches):
             a_ids = b["a"].to_numpy()
             new = np.ones(len(a_ids), bool)
-            new[1:] = a_ids[1:] != a_ids[:-1]
-            left, left_at = shingle_sets(b["text_a"].filter(pa.array(new)))
+            text_a = b["text_a"].fill_null("")
+            # rows that share a doc_id may hold different texts: each is a left side of its own
+            new[1:] = (a_ids[1:] != a_ids[:-1]) | pc.not_equal(text_a[1:], text_a[:-1]).to_numpy(zero_copy_only=False)
+            left, left_at = shingle_sets(text_a.filter(pa.array(new)))
             right, right_at = shingle_sets(b["text_b"])
             of = np.cumsum(new) - 1
             ok = np.zeros(len(a_ids), bool)

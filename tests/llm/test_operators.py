@@ -97,6 +97,16 @@ def test_minhash(spark):
     assert kept.columns == table(spark, texts).columns and {r.doc_id for r in kept.collect()} == {d for d, x in got.items() if x[2]}
 
 
+def test_minhash_two_texts(spark):
+    """A doc_id with two texts has the links of both, on the left side of the comparison too."""
+    from tarn.llm import minhash
+
+    base = [[f"{c}{i}" for i in range(100)] for c in "pqr"]
+    texts = [(0, " ".join(base[0])), (0, " ".join(base[1])), (0, None), (1, edited(base[1], 1, 1)), (2, edited(base[0], 1, 2)), (3, " ".join(base[2])), (4, edited(base[1], 1, 4))]
+    got = minhash.components(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
 def edited(base, edits, seed):
     """base with so many words replaced, each in five shingles of its own."""
     w = list(base)
