@@ -2,8 +2,8 @@
 
 Bytes are embedded; filters of several widths run over them, each filter's largest value in a window is taken, and a
 softmax layer turns these into languages. Training uses fixed windows of a bounded sample of labelled documents
-(`SAMPLE` documents of each language, by hash of doc_id, from the training folds; the languages are the `LANGUAGES`
-commonest labels). For prediction the whole text is cut into windows of `WINDOW` bytes and the probabilities are
+(`SAMPLE` documents of each language, by hash of doc_id, from the training folds, and of each `SAMPLE_WINDOWS` windows,
+drawn by hash from its whole text; every label is a language). For prediction the whole text is cut into windows of `WINDOW` bytes and the probabilities are
 averaged by window length. A filter over two bytes is one table row, so a window costs a few gathers a byte.
 
 Defined results: null text or no letter: `und`, score 0; with no labelled rows at all every prediction is `und`; texts
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-SAMPLE, SAMPLE_CHARS, SAMPLE_WINDOWS, LANGUAGES = 400, 4096, 8, 256
+SAMPLE, SAMPLE_WINDOWS = 400, 8
 STEPS, BATCH, RATE, SEED = 600, 64, 0.01, 7
 FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -124,28 +124,39 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of SAMPLE_WINDOWS windows of each text, drawn by hash from all of it, as a list."""
+    for b in batches:
+        out = []
+        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            raw = text.encode()
+            n = -(-len(raw) // WINDOW)
+            at = np.random.default_rng([SEED, zlib.crc32(str(doc_id).encode())]).permutation(n)[:SAMPLE_WINDOWS] if n > SAMPLE_WINDOWS else range(n)
+            out.append([raw[k * WINDOW : (k + 1) * WINDOW] for k in sorted(at)])
+        yield pa.record_batch([b["doc_id"], b["lang"], pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "lang", "windows"])
+
+
 def fitted(docs: DataFrame) -> Network:
-    """A network trained on a bounded sample of labelled rows outside fold 0 (at most LANGUAGES * SAMPLE documents on the driver)."""
+    """A network trained on a bounded sample of labelled rows outside fold 0 (windows of at most 2 * SAMPLE documents a label on the driver)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Network([])
-    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * SAMPLE / r["count"])))))
+    chance = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * SAMPLE / r["count"])) for r in counts], "lang string, chance double"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) / 1_000_000.0
-    rows = labelled.where(part < F.element_at(chance, F.col("lang"))).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-    rows = rows.limit(2 * SAMPLE * len(counts)).collect()
-    rows.sort(key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+    rows = labelled.join(chance, "lang").where(part < F.col("chance")).select("doc_id", "text", "lang").limit(2 * SAMPLE * len(counts))
+    types = dict(rows.dtypes)
+    rows = rows.mapInArrow(_windows, f"doc_id {types['doc_id']}, lang string, windows array<binary>").collect()
+    rows.sort(key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.windows))
     net = Network([r["lang"] for r in counts])
     number, taken = {x: i for i, x in enumerate(net.labels)}, {}
     windows, y = [], []
     for r in rows:
-        raw = r.text.encode()
-        if not raw or taken.get(r.lang, 0) >= SAMPLE:
+        if not r.windows or taken.get(r.lang, 0) >= SAMPLE:
             continue
         taken[r.lang] = taken.get(r.lang, 0) + 1
-        for k in range(min(SAMPLE_WINDOWS, -(-len(raw) // WINDOW))):
+        for w in r.windows:
             # short windows repeat themselves, so padding is no clue
-            w = raw[k * WINDOW : (k + 1) * WINDOW]
             windows.append(np.resize(np.frombuffer(w, np.uint8), WINDOW))
             y.append(number[r.lang])
     if windows:

@@ -455,6 +455,19 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
+def test_language_whole_texts(spark):
+    """Texts teach their language by what follows a long common opening; every label can be predicted."""
+    from tarn.llm import langid
+
+    opening = "the same words of a notice open every text here " * 110
+    words = {"x": "ula mora teni sabo ", "y": "grof zwik brant plux "}
+    docs = spark.createDataFrame([(i, opening + words["xy"[i % 2]] * 600, "xy"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    tests = spark.createDataFrame([(i, words["xy"[i % 2]] * 20) for i in range(10)], "doc_id long, text string")
+    assert all(r.lang_pred == "xy"[r.doc_id % 2] for r in langid.predicted(tests, langid.fitted(docs)).collect())
+    many = spark.createDataFrame([(i, f"text {i % 260} " * 9, f"l{i % 260}") for i in range(2600)], "doc_id long, text string, lang string")
+    assert len(langid.fitted(many).labels) == 260
+
+
 @pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op5_exact_topk", "op10_substring_dedup"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
