@@ -3,7 +3,8 @@
 Texts are split by the vocabulary's pattern; pre-tokens not met before are encoded together. Their bytes become symbols
 in one flat array. In every round each word's lowest-rank pair is found by binary search over the sorted pair keys, all
 its occurrences in the word (left to right where they overlap) are merged, and words without a known pair leave. Words
-met are kept in a bounded table, which is emptied when full, so memory does not grow with the corpus.
+met are kept in a bounded table. A full table falls back to the words it met first (common words are met early), so a
+Python worker that Spark uses again holds some tens of megabytes whatever the corpus.
 
 Defined results: a null text is empty and gives no ids; added special tokens written in a text are single ids, as the
 vocabulary file says; every valid text decodes to itself.
@@ -15,6 +16,7 @@ import hashlib
 import json
 import re as plain_re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from .common import text_buffers
 
 VOCABULARY = "byte_bpe_50k.json"
-TABLE_WORDS = 800_000  # pre-tokens remembered by a Python worker
+TABLE_WORDS, FIRST_WORDS = 100_000, 60_000  # pre-tokens a Python worker remembers at most, and those a full table keeps
+TABLE_LETTERS = 32  # longer pre-tokens are not remembered beyond their batch
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.int32(2**31 - 1)
 
@@ -69,12 +72,25 @@ class ByteBPE:
         self.forget()
 
     def forget(self) -> None:
+        """Empties the table down to the added tokens."""
         self.words: dict[str, int] = {}
         self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.said: list[str] = []  # decimal ids of each known pre-token
         for token, i in self.special.items():
             self._learn([token], np.array([i], np.int32), np.array([1]))
 
+    def trim(self) -> None:
+        """Keeps FIRST_WORDS of a full table; places given out before are no longer valid."""
+        if len(self.words) <= TABLE_WORDS:
+            return
+        words = list(islice(self.words, FIRST_WORDS))
+        short = np.array([len(w) <= TABLE_LETTERS for w in words])
+        ids, at = self.gathered(np.flatnonzero(short), np.arange(int(short.sum()) + 1))
+        self.forget()
+        words = [w for w, ok in zip(words, short) if ok]
+        own = len(self.words)  # the added tokens stand first in every table
+        self._learn(words[own:], ids[at[own] :], np.diff(at)[own:])
+
     def _learn(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n, used = len(self.words), int(self.at[len(self.words)])
         while len(self.flat) < used + len(ids):
@@ -142,8 +158,7 @@ class ByteBPE:
 
     def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Table places of the pre-tokens of the texts, flat, and n + 1 offsets; valid until the next call."""
-        if len(self.words) > TABLE_WORDS:
-            self.forget()
+        self.trim()
         tokens: list[str] = []
         offs = [0]
         for t in texts:

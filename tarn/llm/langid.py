@@ -26,6 +26,7 @@ from .common import text_buffers
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 SAMPLE, SAMPLE_WINDOWS = 400, 8
 STEPS, BATCH, RATE, SEED = 600, 64, 0.01, 7
+BLOCK = 512 * WINDOW  # bytes scored at once; longer texts are cut at window borders
 FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -173,14 +174,14 @@ def _predict(net: Network, names: list[str]):
                 raw, offsets = text_buffers(b["text"])
                 p = np.zeros((b.num_rows, max(1, len(net.labels))))
                 lo = 0
-                while lo < b.num_rows and net.labels:  # texts together up to about 1 MB, long ones in parts
-                    hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
+                while lo < b.num_rows and net.labels:  # texts together up to a block, longer ones in parts
+                    hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
                     a, z = int(offsets[lo]), int(offsets[hi])
-                    if z - a <= 4 << 20:
+                    if hi > lo + 1 or z - a <= BLOCK:
                         p[lo:hi] = net.probabilities(raw[a:z], offsets[lo : hi + 1] - a, tables)
                     else:
-                        cuts = np.append(np.arange(a, z, 4096 * WINDOW), z)
-                        for x, y in zip(cuts[:-1], cuts[1:]):
+                        for x in range(a, z, BLOCK):
+                            y = min(x + BLOCK, z)
                             p[lo] += net.probabilities(raw[x:y], np.array([0, y - x]), tables)[0] * ((y - x) / (z - a))
                     lo = hi
                 best = p.argmax(1)
