@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_buffers
+from .common import lean, text_buffers
 
 VOCABULARY = "byte_bpe_50k.json"
 TABLE_WORDS, FIRST_WORDS = 100_000, 60_000  # pre-tokens a Python worker remembers at most, and those a full table keeps
@@ -221,7 +221,7 @@ def _digests(path: str):
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
     docs = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text)
-    return docs.mapInArrow(_digests(path or vocabulary_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(lean(_digests(path or vocabulary_path())), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encode(path: str, names: list[str]):
@@ -239,7 +239,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with a column `ids` array<int>; all columns stay (an own column named ids is replaced)."""
     docs = docs.drop("ids")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_encode(path or vocabulary_path(), docs.columns), f"{schema}, ids array<int>")
+    return docs.mapInArrow(lean(_encode(path or vocabulary_path(), docs.columns)), f"{schema}, ids array<int>")
 
 
 def _decode(path: str, names: list[str], into: str):
@@ -256,4 +256,4 @@ def decoded(rows: DataFrame, path: str | None = None, into: str = "decoded") ->
     """rows (with `ids` array<int>) with the decoded text; null ids give a null text."""
     rows = rows.drop(into)
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(_decode(path or vocabulary_path(), rows.columns, into), f"{schema}, `{into}` string")
+    return rows.mapInArrow(lean(_decode(path or vocabulary_path(), rows.columns, into)), f"{schema}, `{into}` string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import lean, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 SAMPLE, SAMPLE_WINDOWS = 400, 8
@@ -147,7 +147,7 @@ def fitted(docs: DataFrame) -> Network:
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) / 1_000_000.0
     rows = labelled.join(chance, "lang").where(part < F.col("chance")).select("doc_id", "text", "lang").limit(2 * SAMPLE * len(counts))
     types = dict(rows.dtypes)
-    rows = rows.mapInArrow(_windows, f"doc_id {types['doc_id']}, lang string, windows array<binary>").collect()
+    rows = rows.mapInArrow(lean(_windows), f"doc_id {types['doc_id']}, lang string, windows array<binary>").collect()
     rows.sort(key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.windows))
     net = Network([r["lang"] for r in counts])
     number, taken = {x: i for i, x in enumerate(net.labels)}, {}
@@ -197,7 +197,7 @@ def predicted(docs: DataFrame, net: Network) -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_predict(net, docs.columns), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(lean(_predict(net, docs.columns)), f"{schema}, lang_pred string, score double")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import stored
+from .common import lean, stored
 
 LENGTH, WINDOW = 1024, 65_536
 MAX_QUEUES = 4096
@@ -140,7 +140,7 @@ def packed(docs: DataFrame, shares: dict[str, float] | None = None, length: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source.alias("queue"))
     if shares is None and len(rows.select("queue").distinct().take(MAX_QUEUES + 1)) > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.crc32("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    tokens = stored(rows.mapInArrow(_tokens(path), TOKENS), "tokens")
+    tokens = stored(rows.mapInArrow(lean(_tokens(path)), TOKENS), "tokens")
     # what each (partition, queue) has; a running sum over partitions gives the place of a partition's first token
     own = stored(tokens.groupBy("part", "queue").agg(F.sum("tokens").alias("n")), "queues")
     sums = own.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # at most MAX_QUEUES rows, or the given sources

@@ -2,19 +2,23 @@
 
 Edges of a De Bruijn graph are the `width`-word windows (token k-mers) of all texts. An edge is filed under its
 minimizer, its smallest `seed`-word hash, so equal edges meet under one key. Consecutive edges of a text that share a
-minimizer are a path; its row holds a hash of its whole word run and its source coordinates (doc_id, start).
+minimizer are a path; its row holds a 128-bit BLAKE2 digest of its words and its source coordinates (document, start).
 
 1. `_paths` turns texts into path rows. Paths met before in the same block of texts are already known to be repeats
    and travel as removal ranges only, so a hot passage sends one row for each block.
 2. A shuffle on the minimizer brings the paths of a key together. Equal paths are nonbranching repeats and stay
-   compact: all but the first are removed whole. Keys under which different paths meet branch there.
+   compact: all but the first are removed whole. Keys under which different paths meet branch there. The commonest
+   minimizers (`HOT_KEYS` at most, found on one document in `HOT_EVERY`; this decides on tasks only) are dealt by path
+   as well and count as branching, so a passage in very many contexts is no task's burden.
 3. The first occurrence of each path at a branching key is joined with its text by source coordinates and
-   expanded to single edges; a second shuffle on the edge's hash (128 bits with its minimizer) finds the later ones.
+   expanded to single edges; a second shuffle on the edges' digests finds the later ones.
 4. Removal ranges are gathered by document and applied to its text.
 
-Equality is by 128 bits of independent hashes over the source words. Defined results: null or empty texts have no
-words and lose nothing; texts shorter than `width` words lose nothing; repeated rows with one doc_id and one text are
-one document, so neither is removed because of the other; a null doc_id takes no part and loses nothing.
+What is removed has the same BLAKE2 digest of its words, taken from the text at its source coordinates; word hashes only
+choose minimizers. Defined results: null or empty texts have no words and lose nothing; texts shorter than `width`
+words lose nothing; repeated rows with one doc_id and one text are one document, so neither is removed because of the
+other; rows with one doc_id and different texts are different documents, in the order of the texts' SHA-256; a null
+doc_id takes no part and loses nothing.
 """
 
 from __future__ import annotations
@@ -25,21 +29,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, as_long, mixed, stored, text_buffers
-from .words import Runs, _SPACE, word_hashes
-
-BLOCK_BYTES = 6 << 20  # texts whose repeats are found before the first shuffle
-_PATHS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
-PATHS = "m long, c long, doc_id long, start int, n int, dup boolean"
-SPANS = "doc_id long, start int, n int, expand boolean"
-
-
-def _known(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Rows with a doc_id, in blocks of about `limit` bytes of text, by doc_id."""
-    held, size = [], 0
+from .common import U64, as_long, lean, mixed, stored
+from .words import digest128, hashes_at, run_hashes, single_spaced, word_places
+
+BLOCK_BYTES = 2 << 20  # texts whose repeats are found before the first shuffle
+HOT_EVERY, HOT_KEYS, HOT_ROWS = 16, 20_000, 32  # share of documents looked at, hot minimizers at most, their rows there
+PATHS = "m long, c long, d long, doc_id long, copy int, start int, n int, dup boolean"
+_PATHS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+SPANS = "doc_id long, copy int, start int, n int, expand boolean"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("expand", pa.bool_())])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as a long in __doc, and __copy: which of the texts of its doc_id a row has (0 where ids are unique)."""
+    rows = docs.withColumn("__doc", F.col("doc_id").cast("long"))
+    twice = rows.groupBy("__doc").count().where("count > 1 AND __doc IS NOT NULL").select(F.col("__doc").alias("__twice"))
+    if not twice.take(1):
+        return rows.withColumn("__copy", F.lit(0))
+    rows = rows.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = rows.join(twice.hint("merge"), F.col("__doc") == F.col("__twice"), "left_semi").select(F.col("__doc").alias("__d"), F.col("__digest").alias("__t")).distinct()
+    number = texts.select("*", (F.row_number().over(Window.partitionBy("__d").orderBy("__t")) - 1).alias("__n"))
+    both = rows.join(stored(number, "copies").hint("merge"), (F.col("__doc") == F.col("__d")) & (F.col("__digest") == F.col("__t")), "left")
+    return both.withColumn("__copy", F.coalesce("__n", F.lit(0))).drop("__digest", "__d", "__t", "__n")
+
+
+def _known(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.Table]:
+    """Rows with a doc_id, in blocks of about `limit` bytes of text, by document."""
+    held, size, limit = [], 0, limit or BLOCK_BYTES
+    by = [("doc_id", "ascending"), ("copy", "ascending")]
     for b in batches:
         b = b.filter(pc.is_valid(b["doc_id"]))
         step = max(1, int(b.num_rows * limit // max(limit, b.nbytes)))
@@ -47,15 +67,15 @@ def _known(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             held.append(b.slice(i, step))
             size += b.nbytes * min(step, b.num_rows - i) // max(1, b.num_rows)
             if size >= limit:
-                yield pa.Table.from_batches(held).sort_by("doc_id")
+                yield pa.Table.from_batches(held).sort_by(by)
                 held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).sort_by("doc_id")
+        yield pa.Table.from_batches(held).sort_by(by)
 
 
 def _minimizers(h: np.ndarray, offs: np.ndarray, width: int, seed: int):
     """For every edge of every text: its text, first word, minimizer value and minimizer position."""
-    k = mixed(Runs(h).all(seed) ^ U64(0xD6E8FEB86659FD93))
+    k = run_hashes(h, seed)
     span = width - seed + 1
     n = len(h) - width + 1
     best, at = k[:n].copy(), np.zeros(n, np.int32)
@@ -69,13 +89,30 @@ def _minimizers(h: np.ndarray, offs: np.ndarray, width: int, seed: int):
     return doc, first, best[first], at[first] + first
 
 
+def _path_rows(block: pa.Table, doc, start, n, m, digest, salt: int) -> Iterator[pa.RecordBatch]:
+    """Path rows of a block, by document and start. Later ones of equal paths become removal ranges under a spread key."""
+    ids, copy = block["doc_id"].to_numpy()[doc], block["copy"].to_numpy()[doc]
+    c, d = digest[:, 0], digest[:, 1]
+    order = np.lexsort((d, c))  # stable: equal paths stay in order
+    dup = np.zeros(len(c), bool)
+    dup[order[1:]] = (c[order[1:]] == c[order[:-1]]) & (d[order[1:]] == d[order[:-1]])
+    # the same place of a repeated row is not a later occurrence
+    lead = order[np.maximum.accumulate(np.where(dup[order], 0, np.arange(len(order))))]
+    gone = np.zeros(len(c), bool)
+    gone[order] = dup[order] & (ids[order] == ids[lead]) & (copy[order] == copy[lead]) & (start[order] == start[lead])
+    m = np.where(dup, mixed(ids.view(U64) + U64(salt)), m)
+    c, d = np.where(dup, U64(0), c), np.where(dup, U64(0), d)
+    out = pa.table([as_long(m), as_long(c), as_long(d), pa.array(ids), pa.array(copy), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(dup)], schema=_PATHS)
+    yield from out.filter(pa.array(~gone)).combine_chunks().to_batches(max_chunksize=65536)
+
+
 def _paths(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _known(batches):
-            h, offs = word_hashes(block["text"])
-            if len(h) < width:
+            raw, _, starts, ends, offs = word_places(block["text"])
+            if len(starts) < width:
                 continue
-            doc, first, value, at = _minimizers(h, offs, width, seed)
+            doc, first, value, at = _minimizers(hashes_at(raw, starts, ends), offs, width, seed)
             if not len(doc):
                 continue
             new = np.ones(len(doc), bool)
@@ -83,121 +120,102 @@ def _paths(width: int, seed: int):
             head = np.flatnonzero(new)
             n = np.diff(np.append(head, len(doc)))
             a, doc, m = first[head], doc[head], value[head]
-            c = Runs(h).of(a, a + n + width - 1)
-            both = mixed(c ^ (m * U64(0x9E3779B97F4A7C15)))
-            order = np.argsort(both, kind="stable")  # rows stand by doc_id and start
-            ids = block["doc_id"].to_numpy()[doc]
-            start = (a - offs[doc]).astype(np.int32)
-            dup = np.zeros(len(head), bool)
-            dup[order[1:]] = both[order[1:]] == both[order[:-1]]
-            # the same place of a repeated row is not a later occurrence
-            lead = np.maximum.accumulate(np.where(dup[order], 0, np.arange(len(order))))
-            same = (ids[order] == ids[order[lead]]) & (start[order] == start[order[lead]])
-            gone = np.zeros(len(head), bool)
-            gone[order] = same & dup[order]
-            m = np.where(dup, mixed(ids.view(U64) + U64(11)), m)
-            c = np.where(dup, U64(0), c)
-            out = pa.table([as_long(m), as_long(c), pa.array(ids), pa.array(start), pa.array(n.astype(np.int32)), pa.array(dup)], schema=_PATHS)
-            yield from out.filter(pa.array(~gone)).combine_chunks().to_batches(max_chunksize=65536)
+            line, begin, stop = single_spaced(raw, starts, ends)
+            digest = digest128([line[x:y] for x, y in zip(begin[a].tolist(), stop[a + n + width - 2].tolist())])
+            yield from _path_rows(block, doc, a - offs[doc], n, m, digest, 11)
 
     return run
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Path rows sorted by (m, c, doc_id, start): ranges to remove, and first occurrences to expand where a key branches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("expand", pa.bool_())])
+    """Path rows sorted by (m, c, d, doc_id, copy, start): ranges to remove, and first occurrences to expand where a key branches."""
 
-    def told(doc, start, n, expand):
-        return pa.record_batch([pa.array(doc), pa.array(start), pa.array(n), pa.array(np.full(len(doc), expand))], schema=schema)
+    def told(rows, at, expand):
+        return pa.record_batch([*(pa.array(rows[x][at]) for x in ("doc_id", "copy", "start", "n")), pa.array(np.full(len(rows["n"][at]), expand))], schema=_SPANS)
 
-    key = last_c = None  # of the row before
-    branched, first = False, None  # whether the current key is known to branch; else its only path's first occurrence
-    lead = (None, None)
+    last = None  # the row before: its key, path and place of the path's first occurrence
+    branched, first = False, None  # whether the last key is known to branch; else the first occurrence of its only path
     for b in batches:
-        if not b.num_rows:
-            continue
-        m, c, doc, start, n = (b.column(i).to_numpy() for i in range(5))
-        dup = b.column(5).to_numpy(zero_copy_only=False)
-        yield told(doc[dup], start[dup], n[dup], False)
-        m, c, doc, start, n = (x[~dup] for x in (m, c, doc, start, n))
-        if not len(m):
+        rows = {x: b[x].to_numpy(zero_copy_only=False) for x in ("m", "c", "d", "doc_id", "copy", "start", "n", "dup", "hot")}
+        yield told(rows, rows["dup"], False)
+        rows = {x: v[~rows["dup"]] for x, v in rows.items()}
+        m, count = rows["m"], len(rows["m"])
+        if not count:
             continue
-        new_m = np.ones(len(m), bool)
+        new_m = np.ones(count, bool)
         new_m[1:] = m[1:] != m[:-1]
-        new_c = new_m.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        on = key is not None and m[0] == key
-        if on:
+        new_path = new_m.copy()
+        new_path[1:] |= (rows["c"][1:] != rows["c"][:-1]) | (rows["d"][1:] != rows["d"][:-1])
+        goes_on = last is not None and m[0] == last["m"]
+        if goes_on:
             new_m[0] = False
-            new_c[0] = c[0] != last_c
+            new_path[0] = rows["c"][0] != last["c"] or rows["d"][0] != last["d"]
         # later occurrences of a path
-        lead_at = np.maximum.accumulate(np.where(new_c, np.arange(len(m)), -1))
-        lead_doc = np.where(lead_at < 0, lead[0] if lead[0] is not None else 0, doc[lead_at])
-        lead_start = np.where(lead_at < 0, lead[1] if lead[1] is not None else 0, start[lead_at])
-        later = ~new_c & ((doc != lead_doc) | (start != lead_start))
-        yield told(doc[later], start[later], n[later], False)
+        lead = np.maximum.accumulate(np.where(new_path, np.arange(count), -1))
+        lead_of = {x: np.where(lead < 0, last[x] if last else 0, rows[x][lead]) for x in ("doc_id", "copy", "start")}
+        later = ~new_path & np.logical_or.reduce([rows[x] != lead_of[x] for x in lead_of])
+        yield told(rows, later, False)
         # first occurrences at keys with more than one path
         group = np.cumsum(new_m)  # 0: goes on from the batch before
-        paths = np.bincount(group, weights=new_c, minlength=group[-1] + 1)
-        if on:
+        paths = np.bincount(group, weights=new_path + 2 * (rows["hot"] & new_m), minlength=group[-1] + 1)
+        if goes_on:
             if not branched and paths[0] > 0:
-                yield told(*(np.array([x], t) for x, t in zip(first, (np.int64, np.int32, np.int32))), True)
+                yield told(first, slice(None), True)
                 branched = True
             paths[0] = 2 if branched else 0
-        take = new_c & (paths[group] > 1)
-        yield told(doc[take], start[take], n[take], True)
-        if group[-1] > 0 or not on:
+        yield told(rows, new_path & (paths[group] > 1), True)
+        if group[-1] > 0:
             i = int(np.flatnonzero(new_m)[-1])
-            branched, first = bool(paths[group[-1]] > 1), (doc[i], start[i], n[i])
-        key, last_c, lead = m[-1], c[-1], (lead_doc[-1], lead_start[-1])
+            branched, first = bool(paths[group[-1]] > 1), {x: v[i : i + 1] for x, v in rows.items()}
+        last = {x: rows[x][-1] for x in ("m", "c", "d")} | {x: v[-1] for x, v in lead_of.items()}
 
 
-def _expand(width: int, seed: int):
-    """Texts with the path places to expand -> edge rows (key, check, doc_id, start, dup)."""
-    schema = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+def _expand(width: int):
+    """Texts with the path places to expand -> edge rows: their key and check are the edge's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _known(batches):
-            h, offs = word_hashes(block["text"])
+            raw, _, starts, ends, offs = word_places(block["text"])
             spans = block["spans"].combine_chunks()
             doc = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             flat = spans.flatten()
             start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             a = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row] + offs[doc[row]]
-            ok = a + width <= offs[doc[row] + 1]
-            a, row = a[ok], row[ok]
+            a, row = a[a + width <= offs[doc[row] + 1]], row[a + width <= offs[doc[row] + 1]]
             if not len(a):
                 continue
-            runs = Runs(h)
-            e = runs.of(a, a + width)
-            check = Runs(mixed(h + U64(0x632BE59BD9B4E019))).of(a, a + width)
-            order = np.argsort(doc[row] * (len(h) + 1) + a, kind="stable")
-            a, row, e, check = a[order], row[order], e[order], check[order]
-            ids, at = block["doc_id"].to_numpy()[doc[row]], (a - offs[doc[row]]).astype(np.int32)
-            by = np.argsort(e, kind="stable")
-            dup = np.zeros(len(e), bool)
-            dup[by[1:]] = (e[by[1:]] == e[by[:-1]]) & (check[by[1:]] == check[by[:-1]])
-            lead = np.maximum.accumulate(np.where(dup[by], 0, np.arange(len(by))))
-            gone = np.zeros(len(e), bool)
-            gone[by] = dup[by] & (ids[by] == ids[by[lead]]) & (at[by] == at[by[lead]])
-            e, check = np.where(dup, mixed(ids.view(U64) + U64(13)), e), np.where(dup, U64(0), check)
-            out = pa.table([as_long(e), as_long(check), pa.array(ids), pa.array(at), pa.array(np.ones(len(at), np.int32)), pa.array(dup)], schema=schema)
-            yield from out.filter(pa.array(~gone)).combine_chunks().to_batches(max_chunksize=65536)
+            order = np.argsort(doc[row] * (len(starts) + 1) + a, kind="stable")
+            a, of = a[order], doc[row[order]]
+            line, begin, stop = single_spaced(raw, starts, ends)
+            digest = digest128([line[x:y] for x, y in zip(begin[a].tolist(), stop[a + width - 1].tolist())])
+            yield from _path_rows(block, of, a - offs[of], np.ones(len(a), np.int64), digest[:, 0], digest, 13)
 
     return run
 
 
+def _met(paths: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Ranges found where equal keys meet."""
+    if hot is None:
+        rows = paths.withColumn("hot", F.lit(False)).repartition("m")
+    else:
+        rows = paths.join(F.broadcast(hot), "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rows = rows.repartition("m", F.when(F.col("hot"), F.col("c")))
+    return rows.sortWithinPartitions("m", "c", "d", "doc_id", "copy", "start").mapInArrow(lean(_compact), SPANS)
+
+
 def removal_ranges(docs: DataFrame, width: int = 20, seed: int = 8) -> DataFrame:
-    """doc_id, spans array<struct<start, n>>: the edges (width words each, n in a row from start) that occur earlier too."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    by_key = texts.mapInArrow(_paths(width, seed), PATHS).repartition("m").sortWithinPartitions("m", "c", "doc_id", "start")
-    found = stored(by_key.mapInArrow(_compact, SPANS), "paths")
-    gather = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    """__doc, __copy (as _numbered gives them), spans array<struct<start, n>>: the edges (width words each, n in a row from start) that occur earlier too."""
+    texts = docs.select(F.col("__doc").alias("doc_id"), F.col("__copy").alias("copy"), "text")
+    paths = lambda rows: rows.mapInArrow(lean(_paths(width, seed)), PATHS)
+    some = paths(texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HOT_EVERY)) == 0)).where("NOT dup")
+    hot = some.groupBy("m").count().where(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "m").limit(HOT_KEYS)
+    found = stored(_met(paths(texts), stored(hot.select("m", F.lit(True).alias("hot")), "hot")), "paths")
+    gather = lambda df: df.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     asked = gather(found.where("expand"))
-    edges = texts.join(asked.hint("shuffle_merge"), "doc_id").mapInArrow(_expand(width, seed), PATHS)
-    later = edges.repartition("m").sortWithinPartitions("m", "c", "doc_id", "start").mapInArrow(_compact, SPANS).where("NOT expand")
-    return gather(found.where("NOT expand").unionByName(later))
+    edges = texts.join(asked.hint("shuffle_merge"), ["doc_id", "copy"]).mapInArrow(lean(_expand(width)), PATHS)
+    later = _met(edges, None).where("NOT expand")
+    return gather(found.where("NOT expand").unionByName(later)).withColumnsRenamed({"doc_id": "__doc", "copy": "__copy"})
 
 
 def _marked(offs: np.ndarray, spans: pa.Array, width: int) -> np.ndarray:
@@ -216,28 +234,13 @@ def _marked(offs: np.ndarray, spans: pa.Array, width: int) -> np.ndarray:
     return np.cumsum(change)[:n_words] > 0
 
 
-def _word_places(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, text offsets, byte starts and ends of the words, word offsets of the texts."""
-    raw, offsets = text_buffers(column)
-    word = np.zeros(len(raw) + 2, bool)
-    word[1:-1] = ~_SPACE[raw]
-    step = word[1:-1] & ~word[:-2]
-    inner = offsets[:-1][offsets[:-1] < len(raw)]
-    step[inner] |= word[1:-1][inner]
-    starts = np.flatnonzero(step)
-    last = word[1:-1] & ~word[2:]
-    stop = offsets[1:][offsets[1:] > 0] - 1
-    last[stop] |= word[1:-1][stop]
-    ends = np.flatnonzero(last) + 1
-    return raw.tobytes(), offsets, starts, ends, np.searchsorted(starts, offsets, "left")
-
-
 def _kept(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, int(whole.num_rows * (4 << 20) // max(4 << 20, whole.nbytes)))
+            step = max(1, int(whole.num_rows * (2 << 20) // max(2 << 20, whole.nbytes)))
             for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                raw, offsets, starts, ends, offs = _word_places(b["text"])
+                raw, offsets, starts, ends, offs = word_places(b["text"])
+                raw = raw.tobytes()
                 gone = _marked(offs, b["spans"], width)
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 digests = []
@@ -254,19 +257,24 @@ def _kept(width: int):
     return run
 
 
+def _with_ranges(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    rows = _numbered(docs)
+    return rows.join(removal_ranges(rows, width, seed).hint("shuffle_merge"), ["__doc", "__copy"], "left")
+
+
 def digests(docs: DataFrame, width: int = 20, seed: int = 8) -> DataFrame:
     """The contract's row for each document: doc_id, n_words, n_removed, kept_sha256."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = docs.join(removal_ranges(docs, width, seed).hint("shuffle_merge"), "doc_id", "left")
-    return both.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    both = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, seed).select("doc_id", "text", "spans")
+    return both.mapInArrow(lean(_kept(width)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut_text(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, int(whole.num_rows * (4 << 20) // max(4 << 20, whole.nbytes)))
+            step = max(1, int(whole.num_rows * (2 << 20) // max(2 << 20, whole.nbytes)))
             for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                raw, offsets, starts, ends, offs = _word_places(b["text"])
+                raw, offsets, starts, ends, offs = word_places(b["text"])
+                raw = raw.tobytes()
                 gone = _marked(offs, b["spans"], width)
                 texts = b["text"].to_pylist()
                 for i in np.flatnonzero(np.add.reduceat(np.append(gone, False), np.minimum(offs[:-1], len(gone))) * (np.diff(offs) > 0)):
@@ -286,11 +294,9 @@ def without_repeats(docs: DataFrame, width: int = 20, seed: int = 8) -> DataFram
     All rows and columns stay; a text without repeats is left as it is, byte for byte; n_chars follows the text.
     """
     names = docs.columns
-    spans = removal_ranges(docs, width, seed).withColumnsRenamed({"doc_id": "__doc", "spans": "spans"})
     clash = {n: f"__in_{i}" for i, n in enumerate(names) if n not in ("doc_id", "text")}
-    left = docs.withColumnsRenamed(clash)
-    joined = left.join(spans.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = _with_ranges(docs.withColumnsRenamed(clash), width, seed)
     kept = [clash.get(n, n) for n in names]
-    schema = ", ".join(f"`{n}` {t}" for n, t in left.select(*kept).dtypes)
-    out = joined.mapInArrow(_cut_text(width, kept), schema).withColumnsRenamed({v: k for k, v in clash.items()})
+    schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(*kept).dtypes)
+    out = joined.select(*kept, "spans").mapInArrow(lean(_cut_text(width, kept)), schema).withColumnsRenamed({v: k for k, v in clash.items()})
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -143,11 +143,87 @@ def test_near_dedup_between_at_80():
         texts += [" ".join(base), edited(base, 10, b)]  # 400 common shingles of 500
     ids = np.arange(len(texts))
     wide = pa.Table.from_batches(minhash._wide([pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])])).combine_chunks()
-    rows = pa.table({"region": ids // 2, "component": ids, "doc_id": ids, "n": np.full(len(ids), 450), "common": np.full(len(ids), 400), "sketch": wide["sketch"]}).combine_chunks()
+    rows = pa.table({"cell": ids // 2, "side": ids * 0, "component": ids, "doc_id": ids, "n": np.full(len(ids), 450), "common": np.full(len(ids), 400), "sketch": wide["sketch"]}).combine_chunks()
     found = [p for out in minhash._between(80)(iter(rows.to_batches())) for p in zip(out["a"].to_pylist(), out["b"].to_pylist())]
     assert sorted(found) == [(i, i + 1) for i in range(0, len(ids), 2)]
 
 
+def complement(n):
+    """Two different words over a and b that one polynomial modulo a power of two cannot tell apart."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_told_apart(spark):
+    """Long words and long runs of words that collide in polynomial hashes are different words."""
+    from tarn.llm import minhash, substr
+
+    s, t = complement(10)
+    head = " ".join(f"w{i}" for i in range(19))
+    runs = [" ".join(complement(k)[side]) for k in (5, 6) for side in (0, 1)]
+    texts = [f"{head} {s}", f"{head} {t}", s, t, *runs]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substr.digests(table(spark, texts)).collect()} == removed(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components(table(spark, texts)).collect()} == components(texts)
+
+
+def test_minhash_cut_regions(spark, monkeypatch):
+    """Regions cut over tasks and pieces, and cells of blocks, give the same links."""
+    from tarn.llm import minhash
+
+    base = [f"z{i}" for i in range(300)]
+    texts = [edited(base, 1 + k % 9, k) for k in range(150)] + [edited([f"y{i}" for i in range(60)], 1 + k % 2, k) for k in range(90)]
+    want = components(texts)
+    docs = table(spark, texts).repartition(8)
+    for piece, whole in ((8192, 64), (40, 4), (24, 16)):
+        monkeypatch.setattr(minhash, "PIECE", piece), monkeypatch.setattr(minhash, "WHOLE", whole)
+        candidates, between = minhash._candidates, minhash._between
+
+        def patched(make, *bound):
+            def outer(*args):
+                def run(batches):
+                    before = minhash.PIECE, minhash.WHOLE
+                    minhash.PIECE, minhash.WHOLE = bound
+                    yield from make(*args)(batches)
+                    minhash.PIECE, minhash.WHOLE = before
+                return run
+            return outer
+
+        monkeypatch.setattr(minhash, "_candidates", patched(candidates, piece, whole)), monkeypatch.setattr(minhash, "_between", patched(between, piece, whole))
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs).collect()}
+        monkeypatch.setattr(minhash, "_candidates", candidates), monkeypatch.setattr(minhash, "_between", between)
+        assert got == want, piece
+
+
+def test_substring_dedup_two_texts(spark):
+    """Rows of one doc_id with different texts are documents of their own, in the order of their SHA-256; equal rows are one."""
+    from tarn.llm import substr
+
+    p = [f"w{i}" for i in range(90)]
+    texts = [" ".join(p[:30]), " ".join(p[30:60]), " ".join(p[60:] + p[:25])]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[0]), (7, None), (7, texts[2]), (3, "q " + texts[1]), (None, texts[0]), (9, texts[0] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    single = sorted({(d, t) for d, t in rows if d is not None}, key=lambda r: (r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    brute = removed([t for _, t in single])
+    want = collections.Counter((d, *brute[single.index((d, t))]) for d, t in rows if d is not None)
+    want[(None, 30, 0, hashlib.sha256(texts[0].encode()).hexdigest())] += 1
+    assert collections.Counter(map(tuple, substr.digests(docs).collect())) == want
+    cut = substr.without_repeats(docs.selectExpr("*", "1 AS copy", "2 AS __n", "3 AS spans"))
+    assert cut.columns == ["doc_id", "text", "copy", "__n", "spans"] and cut.count() == len(rows)
+
+
+def test_substring_dedup_hot(spark, monkeypatch):
+    """Seeds in very many contexts, dealt by path, give the same ranges."""
+    from tarn.llm import substr
+
+    hot = " ".join(f"h{i}" for i in range(12))
+    texts = [f"{' '.join(f'a{k}x{i}' for i in range(15))} {hot} {' '.join(f'b{k % 60}y{i}' for i in range(15))}" for k in range(150)]
+    monkeypatch.setattr(substr, "HOT_EVERY", 1)
+    docs = table(spark, texts).repartition(6)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substr.digests(docs).collect()} == removed(texts)
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80, 85, 95, 100])
 def test_near_dedup_bounds(percent):
     """A pair at the threshold is missed by the forest and dropped by a sketch as seldom at every percent; 85 is as it was."""
@@ -495,7 +571,7 @@ def test_pipeline(spark):
         if name == "minhash_near_dedup":
             texts = [r.text for r in sorted(before.collect())]
             own = [r.doc_id for r in sorted(before.collect())]
-            assert set(kept) == {own[i] for i, x in components(texts).items() if x[2]}
+            assert set(kept) == {own[i] for i, x in components(texts, 80).items() if x[2]}
         if name in ("substring_dedup", "pii"):
             assert len(kept) == before.count()
         assert all(r.n_chars == len(r.text) for r in kept.values())
