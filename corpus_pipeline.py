@@ -6,12 +6,10 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import langid, minhash, packing, pii, substr
-from tarn.llm.common import shared_dir
+from tarn.llm.common import stored
 from tarn.runtime import ship_package
 
 
@@ -22,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group of near copies."""
+    """Keeps one document, the one with the smallest doc_id, of each group of near copies (five words, 0.8 or more)."""
     ship_package(spark)
-    return minhash.one_of_each(docs, percent=85)
+    return minhash.one_of_each(docs, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between stages rows are written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/tarn-stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
