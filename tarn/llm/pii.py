@@ -1,12 +1,15 @@
 """Personal data in whole texts, with DataFrame functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for IBANs), words near a span move its
-score. Kinds: email, ip, card, phone (the base kinds: every span that its rule accepts stays, whatever its score) and
-the method's own: iban (mod-97) and national_id (three, two, four digits; only beside a context word).
-
-Offsets are code points, end exclusive. A text is cut at the matches; the running length of cuts and matches gives the
-offsets, so nothing is searched again. Patterns are possessive and start only where a run starts, so they need no
-backtracking on long runs. Defined results: a null text is empty and has no spans; repeated rows are reported each.
+score up (`CONTEXT`) or down (`AGAINST`). Kinds: email, ip, card, phone (the base kinds: every span that its rule accepts
+stays, whatever its score) and the method's own, which their score decides: iban (mod-97; dropped beside words that
+speak against it) and national_id (three, two, four digits; only beside a context word, and none against it).
+
+Offsets are code points, end exclusive. A text is cut at a kind's matches; the running length of cuts and matches gives
+the offsets, and a span's context is up to `NEAR` code points of the cuts on both of its sides. Running values are
+taken in blocks of `BLOCK` spans, so the work grows with the text and not with the square of its spans. Patterns are
+possessive and start only where a run starts, so they need no backtracking on long runs.
+Defined results: a null text is empty and has no spans; repeated rows are reported each; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ MAY_HOLD = {
     "national_id": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
 #: Score of a confirmed span, and what a context word adds.
-SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.3}
-NEAR, CONTEXT_ADDS, ACCEPT = 40, 0.2, 0.5
+SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "national_id": 0.3}
+NEAR, CONTEXT_MOVES, ACCEPT = 40, 0.3, 0.5
+BLOCK, PIECE = 128, 4096  # spans, code points
 CONTEXT = {
     "email": "mail|contact|write|schreib|correo|courriel",
     "ip": r"\bip\b|server|host|address|adresse",
@@ -44,7 +48,15 @@ CONTEXT = {
     "iban": "iban|account|konto|compte|cuenta|bank",
     "national_id": r"\bssn\b|social security|national id|identity",
 }
-_SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
+#: Words that speak against a kind.
+AGAINST = {
+    "email": r"\bexample\b|\bdummy\b",
+    "ip": r"\bversion\b|\bchapter\b|\bsection\b",
+    "card": r"\border\b|\binvoice\b|\bisbn\b|\bserial\b|\btracking\b",
+    "phone": r"\border\b|\binvoice\b|\bisbn\b|\bserial\b",
+    "iban": r"\bexample\b|\bsample\b|\bdummy\b|\bformat\b|\bserial\b",
+    "national_id": r"\bpart\b|\border\b|\binvoice\b|\bserial\b|\bmodel\b|\bphone\b",
+}
 
 
 def _digits(text: Column) -> Column:
@@ -85,29 +97,53 @@ ACCEPTED = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, size, most: bool = False) -> Column:
+    """For each item the sum (or the greatest, at least 0) of size over the items before it, in blocks of BLOCK."""
+    join = F.greatest if most else lambda a, b: a + b
+
+    def before(values: Column, size, begin: Column) -> Column:
+        step = lambda state, x: F.struct(join(state["at"], size(x)).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+        return F.aggregate(values, F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def blocks(all_items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int"))
+        cut = F.transform(numbers, lambda b: F.slice(all_items, b * BLOCK + F.lit(1), F.lit(BLOCK)))
+        return bound(cut, lambda parts: bound(
+            before(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda t, x: join(t, size(x)))), lambda t: t, F.lit(0)),
+            lambda begins: F.flatten(F.zip_with(parts, begins, lambda part, begin: before(part, size, begin))),
+        ))
+
+    return bound(items, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(F.array().cast("array<int>")))
+
+
 def proposed(text: Column, kind: str) -> Column:
-    """The pattern's matches, leftmost first and not overlapping, with their offsets."""
+    """The pattern's matches, leftmost first and not overlapping: start, kind, end, text, and what is around (left, right)."""
     number = list(KINDS).index(kind)
-    pairs = F.arrays_zip(F.split(text, KINDS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0)).alias("hit"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+    def cut(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0))
+        return F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next")), lambda x: x["hit"].isNotNull())
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), begin, step, lambda s: s["out"])
-    return F.when(MAY_HOLD[kind](text), found).otherwise(F.array().cast(_SPAN))
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        left = F.right(x["gap"], F.lit(NEAR))
+        right = F.substring(F.coalesce(x["next"], F.lit("")), 1, NEAR)
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("text"), F.concat(left, F.lit(" "), right).alias("around"))
 
+    size = lambda x: F.length(x["gap"]) + F.length(x["hit"])
+    found = bound(bound(F.split(text, KINDS[kind], -1), cut), lambda rows: F.zip_with(rows, running(rows, size), span))
+    return F.when(MAY_HOLD[kind](text), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,text:string,around:string>>"))
 
-def _scored(text: Column, spans: Column, kind: str) -> Column:
-    def near(x: Column) -> Column:
-        lo = F.greatest(x["start"] - NEAR, F.lit(0))
-        around = F.concat(F.substring(text, lo + F.lit(1), x["start"] - lo), F.lit(" "), F.substring(text, x["end"] + F.lit(1), F.lit(NEAR)))
-        return F.lower(around).rlike(CONTEXT[kind])
 
-    score = lambda x: F.lit(SCORE[kind]) + F.when(near(x), CONTEXT_ADDS).otherwise(0.0)
+def _scored(spans: Column, kind: str) -> Column:
+    said = lambda x, words: F.lower(x["around"]).rlike(words)
+    moved = lambda x: F.lit(SCORE[kind]) + F.when(said(x, CONTEXT[kind]), CONTEXT_MOVES).otherwise(0.0) - F.when(said(x, AGAINST[kind]), CONTEXT_MOVES).otherwise(0.0)
+    score = lambda x: F.round(F.least(moved(x), F.lit(1.0)), 2)
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["text"].alias("text"), score(x).alias("score")))
 
 
@@ -118,11 +154,9 @@ def _confirmed(spans: Column, kind: str) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """docs with `into`: array of struct(start, kind number, end, text, score), by start, then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    cols = {k: _confirmed(proposed(whole, k), k) for k in KINDS}
-    out = docs.withColumns({f"__pii_{k}": c for k, c in cols.items()})
-    out = out.withColumns({f"__pii_{k}": _scored(whole, F.col(f"__pii_{k}"), k) for k in KINDS})
-    kept = [F.col(f"__pii_{k}") if k in BASE else F.filter(f"__pii_{k}", lambda x: x["score"] >= ACCEPT) for k in KINDS]
-    return out.withColumn(into, F.array_sort(F.concat(*kept))).drop(*(f"__pii_{k}" for k in KINDS))
+    found = {k: _scored(_confirmed(proposed(whole, k), k), k) for k in KINDS}
+    kept = [c if k in BASE else F.filter(c, lambda x: x["score"] >= ACCEPT) for k, c in found.items()]
+    return docs.withColumn(into, F.array_sort(F.concat(*kept)))
 
 
 def _said(spans: Column) -> Column:
@@ -150,15 +184,26 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     out = with_spans(docs, into="__pii")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
-        piece = F.array(F.substring(F.col("text"), state["at"] + F.lit(1), x["start"] - state["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("__pii", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + F.lit(1), F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("__pii") > 0, cut).otherwise(F.col("text"))).drop("__pii")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def between(pieces: Column, a: Column, z: Column) -> Column:
+        """Code points a to z of the text, out of its pieces."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(z / PIECE).cast("int")
+        inside = F.substring(F.get(pieces, first), a % PIECE + F.lit(1), z - a)
+        head = F.substring(F.get(pieces, first), a % PIECE + F.lit(1), F.lit(PIECE))
+        middle = F.array_join(F.slice(pieces, first + F.lit(2), F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.substring(F.coalesce(F.get(pieces, last), F.lit("")), F.lit(1), z % PIECE)
+        return F.when(z <= a, "").when(first == last, inside).otherwise(F.concat(head, middle, tail))
+
+    def cut(pieces: Column) -> Column:
+        # a span that begins inside the ones before it only moves their end
+        spans = F.zip_with("__pii", running(F.col("__pii"), lambda x: x["end"], most=True), lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at")))
+        fresh = F.filter(spans, lambda x: x["start"] >= x["at"])
+        said = F.transform(fresh, lambda x: F.concat(between(pieces, x["at"], x["start"]), F.get(names, x["kind"])))
+        return F.concat(F.array_join(said, ""), between(pieces, F.array_max(F.transform("__pii", lambda x: x["end"])), F.length(text)))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda b: F.substring(text, b * PIECE + F.lit(1), F.lit(PIECE)))
+    out = out.withColumn("text", F.when(F.size("__pii") > 0, bound(pieces, cut)).otherwise(F.col("text"))).drop("__pii")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
