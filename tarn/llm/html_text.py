@@ -3,13 +3,16 @@
 Markup is stripped into lines, one for each block. A line's length is its text outside links; lines of page furniture
 (menus, headers, footers, side bars, forms, adverts, notices, reader comments) and hidden ones count as empty. Furniture
 goes by tags and names, hidden is the attribute, aria-hidden=true or the style; body, main and article are neither, nor
-is an element that holds the page's marked article (the longest one, where there are several). Lengths are summed over
-windows of `WINDOW` lines; the text surges where the sum rises over the threshold and dives where it falls to nothing,
-and the lines between every surge and its dive are kept. Where the page marks its article, lines outside it count as empty too and any text
-is a surge, so short paragraphs stay; without marks the surge must reach `SURGE` characters.
+is an element that holds the page's marked article (the longest one, where there are several). Where a page marks its
+article, that only weighs lines: those inside count `INSIDE` times with their links, and if they so outweigh the text
+outside, that counts as empty; if not, the mark is of something else and weighs nothing.
+
+Lengths are summed over windows of `WINDOW` lines. The text surges where the sum reaches the surge point, `SURGE` or, on
+a page that never gets far, `SHARE` of its highest sum, and dives where a whole window is empty; the lines between every
+surge and its dive are kept, those of links alone too, furniture never.
 
 Defined results: a null page, or one without such text, gives an empty string; unclosed or cut off markup ends with the
-page; repeated rows are reported each.
+page; repeated rows are reported each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, SHARE = 3, 20, 0.5
+INSIDE = 4
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|title|textarea|noscript|iframe|svg|math|template|select|button|object|canvas)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|title|textarea|noscript|iframe|svg|template|select|button)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
@@ -124,26 +128,38 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return [(text, n, not spared.issuperset(f), a > 0) for text, n, f, a in out]
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    rows = lines(page)
-    marked = any(a and not f for _, _, f, a in rows)
-    size = [0 if f or (marked and not a) else len(t) if marked else n for t, n, f, a in rows]
-    n, least = len(size), 1 if marked else SURGE
+def weights(rows: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """What each line counts in the distribution."""
+    inside = [INSIDE * len(t) if a and not f else 0 for t, _, f, a in rows]
+    outside = [n if not (a or f) else 0 for _, n, f, a in rows]
+    if sum(inside) and sum(inside) >= sum(outside):
+        return inside
+    return [0 if f else n for _, n, f, _ in rows]
+
+
+def regions(size: list[int]) -> list[tuple[int, int]]:
+    """[surge, dive) line ranges of the distribution."""
+    n = len(size)
     sums = [sum(size[i : i + WINDOW]) for i in range(n)]
-    kept: list[str] = []
-    i = 0
+    surge = min(SURGE, SHARE * max(sums, default=0))
+    out, i = [], 0
     while i < n:
-        if sums[i] < least or not size[i]:
+        if not size[i] or sums[i] < surge:
             i += 1
             continue
-        j = i  # the surge; its dive is where a whole window is empty
+        j = i  # its dive is where a whole window is empty
         while j < n and sums[j] > 0:
             j += 1
-        kept += [rows[k][0] for k in range(i, j) if size[k]]
-        i = max(j, i + 1)
-    return " ".join(kept)
+        out.append((i, j))
+        i = j
+    return out
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    rows = lines(page)
+    return " ".join(rows[k][0] for i, j in regions(weights(rows)) for k in range(i, j) if not rows[k][2])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -315,11 +315,59 @@ def test_pii(spark):
     assert clean[odd - 1].text == "<EMAIL><EMAIL> <IP>.<IP> +1 (234) 567-8901- <CARD>x" and clean[2].text is None and clean[5].text == "one two"
 
 
+def test_pii_many_spans(spark):
+    """Offsets and redaction over several blocks of spans and pieces of text; the cost does not grow with their square."""
+    import time
+
+    from tarn.llm import pii
+
+    rng = np.random.default_rng(2)
+    words = ["é", "plain words", "a@b.cc", "10.0.0.7", "+1 234 567 8901", "4111 1111 1111 1111", "x@y.z 1.2.3.4", "GB82 WEST 1234 5698 7654 32"]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), n)) for n in (127, 128, 129, 700, 3000)] + ["a@b.cc " * 585 + "é", "x" * 4096 + "a@b.cc" + "y" * 4090]
+    clean = {r.doc_id: r.text for r in pii.redacted(table(spark, texts)).collect()}
+    rows = {r.doc_id: r.spans for r in pii.digests(table(spark, texts)).collect()}
+    for d, t in enumerate(texts):
+        spans = [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in rows[d].split(","))]
+        want, at = "", 0
+        for k, a, z in spans:
+            if a >= at:
+                want += t[at:a] + f"<{k.upper()}>"
+            at = max(at, z)
+        assert clean[d] == want + t[at:]
+        assert sum(k == "email" for k, _, _ in spans) == len(re.findall(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", t))
+    took = []
+    for n in (1000, 50_000):
+        docs = table(spark, [f"a{i}@b.cc " * n for i in range(2)]).cache()
+        docs.count()
+        began = time.time()
+        assert {r.n_email for r in pii.digests(docs).collect()} == {n}
+        took.append(time.time() - began)
+    assert took[1] < 60
+
+
+def test_pii_context(spark):
+    """Words beside a span decide on the method's own kinds, and move the score of all; they reach no further than the next span."""
+    from tarn.llm import pii
+
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    cases = {f"pay to {x} now": [("iban", 0.7)] for x in ibans} | {f"my bank account {x}": [("iban", 1.0)] for x in ibans} | {
+        "an example of the format: DE89370400440532013000": [], "DE88370400440532013000": [], "ssn 123-45-6789": [("national_id", 0.6)], "123-45-6789": [],
+        "part no 123-45-6789 ssn": [], "ssn 000-45-6789": [], "ssn" + " " * 60 + "123-45-6789": [], "write to a@b.cc": [("email", 1.0)], "call order 4111111111111111": [("card", 0.5)],
+        "ssn 123-45-6789 123-45-6788": [("national_id", 0.6)],
+    }
+    names = list(pii.KINDS)
+    got = pii.with_spans(table(spark, list(cases))).collect()
+    for r in got:
+        assert [(names[x.kind], round(x.score, 2)) for x in r.pii] == cases[r.text], r.text
+
+
 def test_html(spark):
     from tarn.llm import html_text
 
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
+    unmarked = {i: re.sub("</?article>", "", h) for i, h in source.items()}
+    assert sum(html_text.main_text(h) != html_text.main_text(unmarked[i]) for i, h in source.items()) == 0
     for r in html_text.extracted(pages).collect():
         article = re.search(r"<article>(.*?)(</article>|$)", source[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
@@ -331,6 +379,24 @@ def test_html(spark):
     assert html_text.main_text("<main><p>a &lt;b&gt; &am c&amp<!-- x --></p><script>var p='</p>'</script><form>f</form></main>") == "a <b> &am c&"
 
 
+def test_html_distribution():
+    """Surges and dives decide: several regions, links inside one, a page that never gets far, and text outside a mark."""
+    from tarn.llm import html_text
+
+    long = "A paragraph of the page that runs on for more than the surge point asks for."
+    links = "<p><a href=x>More</a></p>"
+    assert html_text.regions([0, 5, 30, 0, 0, 0, 4, 0, 0, 0, 40, 1]) == [(1, 3), (10, 12)]
+    assert html_text.regions([3, 0, 0]) == [(0, 1)] and html_text.regions([]) == html_text.regions([0, 0]) == []
+    page = f"<p>{long}</p>{links}<p>Short.</p>{links * 4}<p>{long}</p>{links * 4}<p>Go</p>"
+    assert html_text.main_text(page) == f"{long} More Short. {long}"
+    assert html_text.main_text("<body><p>Hi.</p></body>") == "Hi."
+    assert html_text.main_text(f"<p>Up</p><article><p>Two.</p>{links * 2}<p>{long}</p></article><p>{long}</p>") == f"Two. More More {long}"
+    assert html_text.main_text(f"<article>Teaser</article><p>{long}</p><p>{long}</p>") == f"Teaser {long} {long}"
+    for part in (f"<p>{long}</p><p>So.</p>", f"<p>{long}</p><div class=advert>Buy</div>{links}<p>{long}</p><p>End it.</p>"):
+        assert html_text.main_text(f"<nav>Home</nav><article>{part}</article><footer>x</footer>") == html_text.main_text(f"<nav>Home</nav>{part}<footer>x</footer>")
+    assert html_text.main_text(f"<p>{long} <math><mi>x</mi></math> <object>seen</object></p>") == f"{long} x seen"
+
+
 def test_html_interrupted():
     """An unmarked article goes on after furniture and link-only lines, as often as they come."""
     from tarn.llm import html_text
