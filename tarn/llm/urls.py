@@ -8,9 +8,9 @@ and for every longer context that is known (the empty one of a character never s
 BETA / (n(context) + BETA) by which both models step down to the shorter one. The decision value is calibrated on a
 fifth of the ruled URLs that the models have not seen, for least balanced error.
 
-The table keeps every n-gram of the ruled URLs outside that fifth, so it grows with them. It is broadcast while it has at
-most `BROADCAST_GRAMS` rows (about 30 MB); beyond that only its commonest rows are (each with at least 1 / `HOT_PARTS` of
-all counts, so no more than `HOT_PARTS`), which keeps hot n-grams out of the shuffle that the others join by.
+The table keeps every n-gram of the ruled URLs outside that fifth, so it grows with them. Only its commonest rows are
+broadcast, at every size (each with at least 1 / `HOT_PARTS` of all counts, so no more than `HOT_PARTS` rows, about
+1 MB): they keep hot n-grams out of the shuffle that the others join by. All other joins shuffle both sides.
 Defined results: a null URL, or one without ://, has an empty host and path and no rule; its verdict is the method's for
 the empty string. Without ruled URLs of both kinds every such verdict is allow. Repeated rows are judged each.
 """
@@ -31,7 +31,8 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 ORDER, BETA = 5, 4.0
-BROADCAST_GRAMS, HOT_PARTS = 400_000, 2_000
+HOT_PARTS = 10_000
+EDGE = 40.0
 #: Strings that one task scores.
 TASK_STRINGS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +76,7 @@ def model(judged: DataFrame) -> DataFrame:
     context = counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
     for k in range(2, ORDER + 1):
         grams = counts.where(F.col("k") == k).withColumns({"context": F.substring("gram", 1, k - 1), "shorter": F.substring("gram", 2, k - 1)})
-        joined = grams.join(context, "context").join(level.select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "shorter")
+        joined = grams.join(context.hint("merge"), "context").join(level.select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr")).hint("merge"), "shorter")
         level = joined.select("gram", ((F.col("a") + BETA * F.col("qa")) / (F.col("ca") + BETA)).alias("pa"), ((F.col("r") + BETA * F.col("qr")) / (F.col("cr") + BETA)).alias("pr"), *total)
         level = stored(level, f"level{k}")
         known = known.unionByName(level)
@@ -88,16 +89,13 @@ def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
     tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-strings.count() // TASK_STRINGS))
     spread = _grams(strings.select("s").repartition(tasks, "s"), "s")
     letter = lambda c: F.sum(F.when(F.length("gram") == 1, F.col(c)).otherwise(0)).alias(c)
-    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), letter("a"), letter("r")).first()
+    size = table.agg(F.sum("n").alias("n"), letter("a"), letter("r")).first()
     escape = lambda a, r: F.ln(r + F.lit(BETA)) - F.ln(a + F.lit(BETA))
     table = table.select("gram", "n", F.struct("ratio", escape(F.col("a"), F.col("r")).alias("escape")).alias("known"))
-    if size.rows <= BROADCAST_GRAMS:
-        found = spread.join(F.broadcast(table.drop("n")), "gram", "left")
-    else:
-        hot = F.col("n") >= size.n / HOT_PARTS
-        found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("known").alias("hot"))), "gram", "left")
-        cold = found.where("hot IS NULL").drop("hot").join(table.where(~hot).drop("n"), "gram", "left")
-        found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "known").unionByName(cold)
+    hot = F.col("n") >= float(size.n or 0) / HOT_PARTS
+    found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("known").alias("hot"))), "gram", "left")
+    cold = found.where("hot IS NULL").drop("hot").join(table.where(~hot).drop("n").hint("merge"), "gram", "left")
+    found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "known").unionByName(cold)
     longest = F.when(F.col("known").isNotNull(), F.col("k"))
     ends = [F.max(F.when(F.col("k") == c, F.col("known.escape"))).alias(f"e{c}") for c in range(1, ORDER)]
     places = found.groupBy("s", "i").agg(F.max(longest).alias("k"), F.max_by("known.ratio", longest).alias("ratio"), *ends)
@@ -110,9 +108,14 @@ def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def calibrated(scores: DataFrame) -> float:
-    """(score, n, accepted) -> the decision value with least balanced error; 0 without both kinds. Bins of a hundredth."""
+    """(score, n, accepted) -> the decision value with least balanced error; 0 without both kinds.
+
+    Scores are taken in bins of a hundredth; a score beyond +-`EDGE` is in the last bin on its side, where the models
+    are surer than any decision needs, so the bins have a stated number.
+    """
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    bins = scores.groupBy(F.round("score", 2).alias("bin")).agg(n(F.col("accepted")).alias("a"), n(~F.col("accepted")).alias("r")).where("bin BETWEEN -40 AND 40")
+    held = F.greatest(F.least(F.round("score", 2), F.lit(EDGE)), F.lit(-EDGE))
+    bins = scores.groupBy(held.alias("bin")).agg(n(F.col("accepted")).alias("a"), n(~F.col("accepted")).alias("r"))
     sums = bins.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
     if not sums.a or not sums.r:
         return 0.0
@@ -133,7 +136,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     fold = F.crc32("s") % 5 == 0
     table = model(known.where(~fold))
     scores = stored(scored(strings.select("s").distinct(), table), "scores")
-    at = calibrated(known.where(fold).join(scores, "s"))
-    both = rows.join(scores, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    at = calibrated(known.where(fold).join(scores.hint("merge"), "s"))
+    both = rows.join(scores.hint("merge"), "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") >= at, "allow").otherwise("block")
     return both.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.round("score", 6).alias("score"))
