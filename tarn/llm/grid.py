@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 QUERY_EVERY, TOP = 100, 10
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
 SHARD_LEAST, SHARD_MOST = 1024, 32_768  # vectors in a shard
 
 
@@ -26,11 +26,12 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def crossed(index: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """score(queries, shard) for every block of queries and every shard of the index.
+def crossed(index: DataFrame, queries: DataFrame, score: Callable[[float], Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """score(share)(queries, shard) for every block of queries and every shard of the index, share being 1 / shards.
 
     Both are dealt by a hash of vec_id: the index into shards of about SHARD_LEAST to SHARD_MOST rows, copied once for
-    each query block, the queries into blocks of about QUERY_BLOCK rows, copied once for each shard.
+    each query block, the queries into blocks of about QUERY_BLOCK rows, copied once for each shard. A block is as large
+    as a task's memory allows, since the index travels once for each.
     """
     n, m = index.count(), queries.count()
     shard_rows = min(SHARD_MOST, max(SHARD_LEAST, n // 64))
@@ -38,7 +39,7 @@ def crossed(index: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame,
     at = lambda k, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(k)).cast("int")
     left = queries.withColumn("block", at(blocks, 1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = index.withColumn("shard", at(shards, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, schema)
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score(1 / shards), schema)
 
 
 def best(found: DataFrame, descending: bool) -> DataFrame:

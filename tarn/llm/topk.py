@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .grid import QUERY_EVERY, TOP, best, crossed, same_length, stored, valid
 
-BLOCK = 64
+BLOCK, QUERIES = 64, 2048  # documents of a block, queries whose bounds are held at once
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
 
@@ -69,13 +69,16 @@ def _score(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     out = []
     for q, qm, s, sm in same_length(queries, shard):
         qid = q["vec_id"].to_numpy()
-        row, ids, score = search_shard(qid, np.floor(1024.0 * qm), s["vec_id"].to_numpy(), np.floor(1024.0 * sm))
-        out.append(pd.DataFrame({"query_id": qid[row], "vec_id": ids, "score": score}))
+        x = np.floor(1024.0 * sm)
+        for lo in range(0, len(qid), QUERIES):
+            own = qid[lo : lo + QUERIES]
+            row, ids, score = search_shard(own, np.floor(1024.0 * qm[lo : lo + QUERIES]), s["vec_id"].to_numpy(), x)
+            out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids, "score": score}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def searched(vectors: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score for every id divisible by QUERY_EVERY against all rows."""
     index = stored(valid(vectors, zero=True), "vectors")
-    found = crossed(index, index.where(F.col("vec_id") % QUERY_EVERY == 0), _score, "query_id long, vec_id long, score long")
+    found = crossed(index, index.where(F.col("vec_id") % QUERY_EVERY == 0), lambda share: _score, "query_id long, vec_id long, score long")
     return best(found, descending=True)
