@@ -22,7 +22,7 @@ Method
    other components in its region, so adaptive depth loses no link between them. A document whose set has too many
    shingles that none of the others has cannot link with any and is left out of this step, and a sketch of WIDE
    values (again over four standard deviations) keeps pairs below the threshold from being confirmed in vain. A region
-   with more than `PIECE` such members is dealt into blocks, and each pair of blocks is a task's work of its own.
+   with more than `CELL` such members is dealt into blocks, and each pair of blocks is a task's work of its own.
 
 At the threshold itself a pair shares no region in any tree with probability `MISS` at most, less above it.
 Defined results: null doc_id: no part, no component, kept; rows that share a doc_id are one document with the union of
@@ -49,6 +49,7 @@ MISS, TREES, MOST_TREES, SHALLOW, DEEP = 7.5e-6, 16, 32, 4, 8
 SMALL = 16
 CENTRES = 4
 PIECE, WHOLE = 8192, 64  # rows of a region that one task compares at most; rows of a piece that go on whole at most
+CELL = 1024  # members in a block of the last step, about
 SKETCH_SD = 4.93  # how many standard deviations below the expected agreement at the threshold a sketch may be
 WIDE, WIDE_SD = 1024, 4.5  # the longer sketch of the last step
 BROADCAST_IDS = 2_000_000  # document ids broadcast at most: 16 MB
@@ -416,7 +417,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
         # even inside a document of the same common part
         able = stored(_mixed(stored(again.where(F.col("common") * 100 >= F.col("n") * percent), "able")), "split")
         wide = some.join(_few(stored(able.select(F.col("doc_id").alias("id")).distinct(), "able-ids"), "shuffle_merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lean(_wide), "doc_id long, sketch binary")
-        blocks = F.ceil(F.col("members") / PIECE).cast("int")
+        blocks = F.ceil(F.col("members") / CELL).cast("int")
         able = able.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         able = able.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cell = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
