@@ -10,7 +10,7 @@ fifth of the ruled URLs that the models have not seen, for least balanced error.
 
 The table keeps every n-gram of the ruled URLs outside that fifth, so it grows with them. Only its commonest rows are
 broadcast, at every size (each with at least 1 / `HOT_PARTS` of all counts, so no more than `HOT_PARTS` rows, about
-1 MB): they keep hot n-grams out of the shuffle that the others join by. All other joins shuffle both sides.
+2 MB): they keep hot n-grams out of the shuffle that the others join by. All other joins shuffle both sides.
 Defined results: a null URL, or one without ://, has an empty host and path and no rule; its verdict is the method's for
 the empty string. Without ruled URLs of both kinds every such verdict is allow. Repeated rows are judged each.
 """
@@ -31,7 +31,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 ORDER, BETA = 5, 4.0
-HOT_PARTS = 10_000
+HOT_PARTS = 20_000
 EDGE = 40.0
 #: Strings that one task scores.
 TASK_STRINGS = 20_000
@@ -84,27 +84,35 @@ def model(judged: DataFrame) -> DataFrame:
 
 
 def scored(strings: DataFrame, table: DataFrame) -> DataFrame:
-    """strings (s, distinct) -> s, score: mean over its characters of the log-likelihood difference (0: empty string or table)."""
+    """strings (s, distinct) -> s, score: mean over its characters of the log-likelihood difference (0: empty string or table).
+
+    Strings travel as numbers; what is shuffled is the n-grams that are not broadcast, and of these what the table knows.
+    """
+    numbered = stored(strings.select("s").withColumn("id", F.monotonically_increasing_id()), "strings")
     # strings are few bytes beside their n-grams: a stated count keeps them from being merged into one task
-    tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-strings.count() // TASK_STRINGS))
-    spread = _grams(strings.select("s").repartition(tasks, "s"), "s")
+    tasks = max(strings.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // TASK_STRINGS))
+    spread = _grams(numbered.repartition(tasks, "id"), "s").select("id", "i", "k", "gram")
     letter = lambda c: F.sum(F.when(F.length("gram") == 1, F.col(c)).otherwise(0)).alias(c)
     size = table.agg(F.sum("n").alias("n"), letter("a"), letter("r")).first()
     escape = lambda a, r: F.ln(r + F.lit(BETA)) - F.ln(a + F.lit(BETA))
     table = table.select("gram", "n", F.struct("ratio", escape(F.col("a"), F.col("r")).alias("escape")).alias("known"))
     hot = F.col("n") >= float(size.n or 0) / HOT_PARTS
-    found = spread.join(F.broadcast(table.where(hot).select("gram", F.col("known").alias("hot"))), "gram", "left")
-    cold = found.where("hot IS NULL").drop("hot").join(table.where(~hot).drop("n").hint("merge"), "gram", "left")
-    found = found.where("hot IS NOT NULL").withColumnRenamed("hot", "known").unionByName(cold)
-    longest = F.when(F.col("known").isNotNull(), F.col("k"))
-    ends = [F.max(F.when(F.col("k") == c, F.col("known.escape"))).alias(f"e{c}") for c in range(1, ORDER)]
-    places = found.groupBy("s", "i").agg(F.max(longest).alias("k"), F.max_by("known.ratio", longest).alias("ratio"), *ends)
+    found = spread.join(F.broadcast(table.where(hot).select("gram", "known")), "gram", "left")
+    rest = found.where("known IS NULL").select("id", "i", "k", "gram").join(table.where(~hot).select("gram", "known").hint("merge"), "gram")
+    # all that is known of a string, in its own row
+    gather = lambda rows, name: rows.groupBy("id").agg(F.collect_list(F.struct("i", "k", "known.ratio", "known.escape")).alias(name))
+    both = numbered.where(F.length("s") > 0).join(gather(found.where("known IS NOT NULL"), "x").hint("merge"), "id", "left").join(gather(rest, "y").hint("merge"), "id", "left")
+    none = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.struct(i.alias("i"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("double").alias("escape")))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<i:int,k:int,ratio:double,escape:double>>"))
+    each = both.select("id", "s", F.explode(F.concat(none, listed("x"), listed("y"))).alias("g")).select("id", "s", "g.*")
+    ends = [F.max(F.when(F.col("k") == c, F.col("escape"))).alias(f"e{c}") for c in range(1, ORDER)]
+    places = each.groupBy("id", "i").agg(F.first("s").alias("s"), F.max("k").alias("k"), F.max_by("ratio", "k").alias("ratio"), *ends)
     # the contexts of a character are the n-grams that end before it
-    before = Window.partitionBy("s").orderBy("i")
-    places = places.select("s", "k", "ratio", *(F.lag(f"e{c}").over(before).alias(f"e{c}") for c in range(1, ORDER)))
-    longer = sum(F.when(F.coalesce("k", F.lit(0)) <= c, F.coalesce(f"e{c}", F.lit(0.0))).otherwise(0.0) for c in range(1, ORDER))
+    before = Window.partitionBy("id").orderBy("i")
+    places = places.select("id", "s", "k", "ratio", *(F.lag(f"e{c}").over(before).alias(f"e{c}") for c in range(1, ORDER)))
+    longer = sum(F.when(F.col("k") <= c, F.coalesce(f"e{c}", F.lit(0.0))).otherwise(0.0) for c in range(1, ORDER))
     unseen = escape(F.lit(float(size.a or 0)), F.lit(float(size.r or 0)))
-    return places.groupBy("s").agg((F.sum(F.coalesce("ratio", unseen) + longer) / F.count("*")).alias("score"))
+    return places.groupBy("id").agg(F.first("s").alias("s"), (F.sum(F.coalesce("ratio", unseen) + longer) / F.count("*")).alias("score")).select("s", "score")
 
 
 def calibrated(scores: DataFrame) -> float:
