@@ -1,34 +1,33 @@
 """Byte-level BPE: encoding by batched numpy merge rounds, decoding by gathering token bytes.
 
-Texts are split by the vocabulary's pattern; pre-tokens not met before are encoded together. Their bytes become symbols
-in one flat array. In every round each word's lowest-rank pair is found by binary search over the sorted pair keys, all
-its occurrences in the word (left to right where they overlap) are merged, and words without a known pair leave. Words
-met are kept in a bounded table. A full table falls back to the words it met first (common words are met early), so a
-Python worker that Spark uses again holds some tens of megabytes whatever the corpus.
-
-Defined results: a null text is empty and gives no ids; added special tokens written in a text are single ids, as the
-vocabulary file says; every valid text decodes to itself.
+A batch of texts is cut into pre-tokens at once, by the classes of its code points (letters, numbers, white space, other)
+and the rules of the vocabulary's pattern. The different pre-tokens of the batch are encoded together: their bytes become
+symbols in one flat array. In every round each word's lowest-rank pair is found by binary search over the sorted pair
+keys, all its occurrences in the word (left to right where they overlap) are merged, and words without a known pair
+leave. Nothing is remembered between batches, so a worker holds the vocabulary and one batch.
+
+Pre-tokens are grouped by 64-bit hashes; each is then compared with its group's first, byte for byte, and stands alone
+where it differs. Defined results: a null text is empty and gives no ids; added special tokens written in a text are
+single ids, as the vocabulary file says; every valid text decodes to itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re as plain_re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import lean, text_buffers
+from .common import U64, lean, text_buffers
+from .words import hashes_at
 
 VOCABULARY = "byte_bpe_50k.json"
-TABLE_WORDS, FIRST_WORDS = 100_000, 60_000  # pre-tokens a Python worker remembers at most, and those a full table keeps
-TABLE_LETTERS = 32  # longer pre-tokens are not remembered beyond their batch
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BATCH_BYTES = 2 << 20  # texts encoded together
+_OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
 _NONE = np.int32(2**31 - 1)
 
 
@@ -67,58 +66,28 @@ class ByteBPE:
         order = np.argsort(keys, kind="stable")
         order = order[np.concatenate([[True], np.diff(keys[order]) != 0])]  # of equal pairs the first counts
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
-        self.split = regex.compile(_SPLIT)
-        self.cut = plain_re.compile("(" + "|".join(plain_re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.forget()
-
-    def forget(self) -> None:
-        """Empties the table down to the added tokens."""
-        self.words: dict[str, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
-        self.said: list[str] = []  # decimal ids of each known pre-token
-        for token, i in self.special.items():
-            self._learn([token], np.array([i], np.int32), np.array([1]))
-
-    def trim(self) -> None:
-        """Keeps FIRST_WORDS of a full table; places given out before are no longer valid."""
-        if len(self.words) <= TABLE_WORDS:
-            return
-        words = list(islice(self.words, FIRST_WORDS))
-        short = np.array([len(w) <= TABLE_LETTERS for w in words])
-        ids, at = self.gathered(np.flatnonzero(short), np.arange(int(short.sum()) + 1))
-        self.forget()
-        words = [w for w, ok in zip(words, short) if ok]
-        own = len(self.words)  # the added tokens stand first in every table
-        self._learn(words[own:], ids[at[own] :], np.diff(at)[own:])
-
-    def _learn(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, used = len(self.words), int(self.at[len(self.words)])
-        while len(self.flat) < used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.at) < n + len(words) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used : used + len(ids)] = ids
-        self.at[n + 1 : n + 1 + len(words)] = used + np.cumsum(counts)
-        self.words.update(zip(words, range(n, n + len(words))))
-
-    def decimal(self) -> list[str]:
-        """The decimal ids of each known pre-token, comma-joined."""
-        done, n = len(self.said), len(self.words)
-        if done < n:
-            at = (self.at[done : n + 1] - self.at[done]).tolist()
-            text = list(map(str, self.flat[self.at[done] : self.at[n]].tolist()))
-            self.said += [",".join(text[lo:hi]) for lo, hi in zip(at, at[1:])]
-        return self.said
-
-    def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens, flat, and how many each has."""
-        raw, offs = text_buffers(pa.array(words, pa.large_string()))
+        pairs = self.first.astype(np.int64)[:, None] << 32 | self.first[None]  # of two bytes, so the first round needs no search
+        self.byte_place = np.minimum(np.searchsorted(self.keys, pairs.ravel()), len(self.keys) - 1)
+        self.byte_rank = np.where(self.keys[self.byte_place] == pairs.ravel(), self.rank[self.byte_place], _NONE).astype(np.int32)
+        self.byte_place = self.byte_place.astype(np.int32)
+        every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+        self.kind = np.zeros(0x110000, np.uint8)  # class of each code point
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                lo, hi = ord(every[m.start()]), ord(every[m.end() - 1]) + 1
+                self.kind[lo:hi] = kind
+        self.kind[0xD800:0xE000] = _OTHER
+
+    def merge_rounds(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens (their bytes, flat, and n + 1 offsets), flat, and how many each has."""
         symbols = self.first[raw]
-        word = np.repeat(np.arange(len(words)), np.diff(offs))
+        word = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
         out_symbols, out_word = [], []
-        place = np.zeros(len(symbols), np.int64)  # of each symbol's pair with the next one, and its rank
-        rank = np.full(len(symbols), _NONE)
-        changed = np.arange(len(symbols) - 1)
+        # of each symbol's pair with the next one: its place among the pairs, and its rank
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        place, rank = np.append(self.byte_place[pair], np.int32(0)), np.append(self.byte_rank[pair], _NONE)
+        rank[offs[1:-1][offs[1:-1] > 0] - 1] = _NONE
+        changed = np.zeros(0, np.int64)
         while len(symbols):
             key = symbols[changed].astype(np.int64) << 32 | symbols[changed + 1]
             found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -146,44 +115,128 @@ class ByteBPE:
         symbols = np.concatenate(out_symbols) if out_symbols else np.zeros(0, np.int32)
         word = np.concatenate(out_word) if out_word else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return symbols[order], np.bincount(word, minlength=len(words))
-
-    def _pre_tokens(self, text: str) -> list[str]:
-        if self.cut is None or not any(t in text for t in self.special):
-            return self.split.findall(text)
-        out = []
-        for i, part in enumerate(self.cut.split(text)):
-            out.extend([part] if i % 2 else self.split.findall(part))
+        return symbols[order], np.bincount(word, minlength=len(offs) - 1)
+
+    def _special_places(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of added tokens inside the texts, leftmost first, the longer of two at one place."""
+        whole, found = raw.tobytes(), []
+        for token, i in self.special.items():
+            said = token.encode()
+            at = whole.find(said)
+            while at >= 0:
+                text = np.searchsorted(offsets, at, "right") - 1
+                if at + len(said) <= offsets[text + 1]:
+                    found.append((at, -len(said), i))
+                at = whole.find(said, at + 1)
+        out, end = [], 0
+        for at, size, i in sorted(found):
+            if at >= end:
+                end = at - size
+                out.append((at, end, i))
         return out
 
-    def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Table places of the pre-tokens of the texts, flat, and n + 1 offsets; valid until the next call."""
-        self.trim()
-        tokens: list[str] = []
-        offs = [0]
-        for t in texts:
-            if t:
-                tokens += self._pre_tokens(t)
-            offs.append(len(tokens))
-        new = list(set(tokens).difference(self.words))
-        if new:
-            self._learn(new, *self.merge_rounds(new))
-        return np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)), np.array(offs, np.int64)
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def pre_tokens(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Byte starts of the pre-tokens of the texts, which they fill without gaps; n + 1 offsets of texts; added tokens."""
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        code = raw[at].astype(np.uint32)
+        for bits, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+            some = np.flatnonzero((code >= bits) & (code < (0xE0, 0xF0, 0x100)[more - 1]) & (at + more < len(raw) + 0))
+            value = (raw[at[some]] & mask).astype(np.uint32)
+            for j in range(1, more + 1):
+                value = value << 6 | (raw[at[some] + j] & 0x3F)
+            code[some] = value | 0x80000000  # done; first bytes of other lengths are still to come
+        code &= 0x7FFFFFFF
+        kind = self.kind[code]
+        opens = np.zeros(len(at) + 1, bool)  # where no pre-token crosses: texts and added tokens
+        opens[np.searchsorted(at, offsets)] = True
+        special = self._special_places(raw, offsets) if self.special else []
+        for lo, hi, _ in special:
+            x, y = np.searchsorted(at, (lo, hi))
+            kind[x:y] = _SPECIAL
+            opens[x] = opens[y] = True
+        mark = opens.copy()
+        mark[1:-1] |= kind[1:] != kind[:-1]
+        mark[-1] = True
+        if len(at):
+            run = np.flatnonzero(mark)
+            begin, end = run[:-1], run[1:]
+            what, inner = kind[begin], ~opens[end]  # inner: the text goes on after the run
+            # of white space before something else the last character stands apart; a space joins what follows
+            last = end[(what == _SPACE) & inner]
+            joins = last[code[last - 1] == 32]
+            mark[last - 1] = True
+            mark[joins] = False
+            # an apostrophe of its own run takes s, t, m, d, re, ve or ll of the letters behind it
+            quote = np.flatnonzero((what == _OTHER) & inner & (end - begin == 1) & (code[begin] == 39) & mark[begin])
+            quote = quote[what[np.minimum(quote + 1, len(what) - 1)] == _LETTER]
+            a, stop = end[quote], end[quote + 1] if len(quote) else end[:0]
+            c1 = code[a]
+            c2 = np.where(a + 1 < stop, code[np.minimum(a + 1, len(code) - 1)], 0)
+            one = np.isin(c1, [ord(c) for c in "stmd"])
+            two = ((c1 == ord("r")) & (c2 == ord("e"))) | ((c1 == ord("v")) & (c2 == ord("e"))) | ((c1 == ord("l")) & (c2 == ord("l")))
+            for hit, size in ((one, 1), (two, 2)):
+                mark[a[hit]] = False
+                mark[a[hit] + size] = True
+        starts = at[np.flatnonzero(mark[:-1])]
+        return starts, np.searchsorted(starts, offsets, "left"), special
+
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the different pre-tokens of the texts, flat, and their offsets; which of them stands at each place; offsets of texts."""
+        raw, offsets = text_buffers(column)
+        starts, offs, special = self.pre_tokens(raw, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), offs
+        ends = np.append(starts[1:], len(raw))
+        _, first, place = np.unique(hashes_at(raw, starts, ends), return_index=True, return_inverse=True)
+        odd = ~_same_bytes(raw, starts, ends, first[place])
+        if odd.any():  # equal hashes of different bytes: each such place is a word of its own
+            place[odd] = len(first) + np.arange(int(odd.sum()))
+            first = np.append(first, np.flatnonzero(odd))
+        size = ends[first] - starts[first]
+        at = np.concatenate([[0], np.cumsum(size)])
+        take = np.arange(at[-1]) + np.repeat(starts[first] - at[:-1], size)
+        flat, counts = self.merge_rounds(raw[take], at)
+        for lo, _, i in special:  # an added token is one id
+            k = int(place[np.searchsorted(starts, lo)])
+            if counts[k] != 1 or flat[int(counts[:k].sum())] != i:
+                low = int(counts[:k].sum())
+                flat = np.concatenate([flat[:low], np.array([i], flat.dtype), flat[low + counts[k] :]])
+                counts[k] = 1
+        return flat, np.concatenate([[0], np.cumsum(counts)]), place, offs
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the texts, flat, and n + 1 offsets."""
-        return self.gathered(*self.places(texts))
-
-    def gathered(self, place: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.at[place + 1] - self.at[place]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        take = np.arange(total[-1]) + np.repeat(self.at[place] - total[:-1], counts)
-        return self.flat[take], total[offs]
+        return gathered(*self.words(column))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+def _same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each place has the same bytes as the place `other` names."""
+    wide = np.zeros(len(raw) + 8, np.uint8)
+    wide[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", wide, strides=(1,))
+    size = ends - starts
+    same = size == size[other]
+    rows, at = np.flatnonzero(same & (np.arange(len(starts)) != other)), 0
+    while len(rows):
+        left = np.minimum(size[rows] - at, 8)
+        mask = np.where(left == 8, U64(0xFFFFFFFFFFFFFFFF), (U64(1) << (8 * (left % 8)).astype(U64)) - U64(1))
+        off = ((eight[starts[rows] + at] ^ eight[starts[other[rows]] + at]) & mask) != 0
+        same[rows[off]] = False
+        rows, at = rows[~off & (size[rows] - at > 8)], at + 8
+    return same
+
+
+def gathered(flat: np.ndarray, at: np.ndarray, place: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What words() gives -> ids of the texts, flat, and n + 1 offsets."""
+    counts = (at[1:] - at[:-1])[place]
+    total = np.concatenate([[0], np.cumsum(counts)])
+    take = np.arange(total[-1]) + np.repeat(at[place] - total[:-1], counts)
+    return flat[take], total[offs]
+
+
 _loaded: dict[str, ByteBPE] = {}
 
 
@@ -193,7 +246,7 @@ def loaded(path: str) -> ByteBPE:
     return _loaded[path]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     for b in batches:
         step = max(1, int(b.num_rows * limit // max(limit, b.nbytes)))
         for i in range(0, b.num_rows, step):
@@ -204,11 +257,11 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in small_batches(batches):
-            texts = b["text"].to_pylist()
-            place, offs = bpe.places(texts)
-            ids, at = bpe.gathered(place, offs)
-            known, said, back = bpe.decimal(), [], []
-            for i in range(len(texts)):
+            flat, word_at, place, offs = bpe.words(b["text"])
+            ids, at = gathered(flat, word_at, place, offs)
+            letters, cut, said, back = list(map(str, flat.tolist())), word_at.tolist(), [], []
+            known = [",".join(letters[lo:hi]) for lo, hi in zip(cut, cut[1:])]
+            for i in range(b.num_rows):
                 own = ids[at[i] : at[i + 1]]
                 text = ",".join([known[p] for p in place[offs[i] : offs[i + 1]].tolist()])
                 said.append(hashlib.sha256(text.encode()).hexdigest())
@@ -228,7 +281,7 @@ def _encode(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in small_batches(batches):
-            ids, at = bpe.ids(b["text"].to_pylist())
+            ids, at = bpe.ids(b["text"])
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.record_batch([*(b[n] for n in names), lists], names=[*names, "ids"])
 

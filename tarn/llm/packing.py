@@ -42,7 +42,7 @@ def _tokens(path: str):
 
         part, model, given = TaskContext.get().partitionId(), bpe.loaded(path), {}
         for b in bpe.small_batches(batches):
-            ids, at = model.ids(b["text"].to_pylist())
+            ids, at = model.ids(b["text"])
             queues, before, blobs = b["queue"].to_pylist(), [], []
             ids = ids.astype("<u2" if len(model.pieces) <= 65536 else "<u4")
             closing = np.zeros(1, ids.dtype).tobytes()

@@ -267,6 +267,27 @@ def test_bpe_round_trip(spark):
     assert all(r.decoded == (r.text or "") and r.region == 5 for r in back.collect())
 
 
+def test_bpe_cuts(monkeypatch):
+    """Pre-tokens cut as the library cuts them, on random strings of awkward characters, and with hashes that all collide."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tarn.llm import bpe
+
+    library, model = Tokenizer.from_file(bpe.vocabulary_path()), bpe.ByteBPE(bpe.vocabulary_path())
+    rng = np.random.default_rng(5)
+    parts = ["a", "s", "t", "re", "ve", "ll", "d", "m", "'", "'s", "'re", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "1", "9", "\u0663", "é", "日本", "!", "-", "😀", "<|endoftext|>", "<|endoftext", "|>", "Z", "x" * 40, "\u0301", "\ufeff", "'ll", "''", "\r\n"]
+    texts = [None, ""] + ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(1, 30, 3000)]
+
+    def equal(some):
+        ids, at = model.ids(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+    equal(texts)
+    monkeypatch.setattr(bpe, "hashes_at", lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    equal(texts[:300])
+
+
 @pytest.mark.parametrize("shares", [None, {"s": 0.9}])
 def test_packing(spark, shares):
     from tokenizers import Tokenizer
