@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def hex_mod(digest: Column, n: int) -> Column:
@@ -32,3 +37,54 @@ def set_identity(rows: DataFrame, digest: str, fan: int = 4) -> DataFrame:
         F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("h"))
     whole = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s.h)
     return parts.agg(F.sha2(F.array_join(whole, ","), 256).alias("root"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
+
+
+@F.pandas_udf(StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, no white space and no NaN: Arrow batches, since number texts follow the shortest round trip."""
+    said = lambda t: json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return texts.map(lambda t: None if t is None else said(t))
+
+
+def canonical_sha256(value: Column) -> Column:
+    """SHA-256 of the canonical JSON of a struct, map or array; null fields are kept."""
+    return F.sha2(canonical_json(F.to_json(value, {"ignoreNullFields": "false"})).cast("binary"), 256)
+
+
+def canonical_digest(value: object) -> str:
+    """The same on the driver, for configuration."""
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    return F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+
+
+def listed_root(leaves: DataFrame, order: list[str], leaf: Column, name: str, schema: str) -> DataFrame:
+    """root and members: SHA-256 of {"<name>":[leaves in order],"schema_version":"<schema>"}, the canonical form of a set.
+
+    A SHA-256 is one stream over its text, so a root of this form needs the ordered leaves in one place: the text is put
+    together from sorted pieces of a partition each, and one task hashes it. Use set_identity where the form is free.
+    """
+    rows = leaves.select(*order, leaf.alias("__leaf"))
+    parts = rows.groupBy(F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in order)), 256), 1, 2).alias("p")).agg(F.collect_list(F.struct(*order, "__leaf")).alias("x"))
+    whole = parts.agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    before, after = (f'{{"{name}":[', f'],"schema_version":"{schema}"}}')
+    if name > "schema_version":
+        before, after = f'{{"schema_version":"{schema}","{name}":[', "]}"
+    text = F.concat(F.lit(before), F.array_join(F.transform("x", lambda t: t["__leaf"]), ","), F.lit(after))
+    return whole.select(F.sha2(text, 256).alias("root"), F.size("x").cast("long").alias("members"))
+
+
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `number`, their place from 0 in the order of `by`: counted in ranges, so no task gets them all.
+
+    The ranges are those of a range partitioning, whose boundaries come from a sample and decide on tasks only.
+    """
+    rows = rows.repartitionByRange(*by)
+    tagged = rows.withColumn("__task", F.spark_partition_id())
+    tagged = tagged.withColumn("__row", F.row_number().over(Window.partitionBy("__task").orderBy(*by)))
+    sizes = tagged.groupBy("__task").agg(F.count("*").alias("__size"))
+    first = sizes.select("__task", (F.sum("__size").over(Window.orderBy("__task")) - F.col("__size")).alias("__first"))  # a row a task
+    return tagged.join(F.broadcast(first), "__task").withColumn("number", F.col("__first") + F.col("__row") - 1).drop("__task", "__row", "__first")

@@ -25,10 +25,10 @@ def lenient_bool(c: Column) -> Column:
 
 
 def dose(c: Column) -> Column:
-    """Canonical dose: whole numbers without a fraction, 'all' as it is, '<missing>' for nothing."""
-    x = finite(c)
-    whole = x.cast("bigint")
-    return F.when(missing(c), "<missing>").when(x.isNotNull() & (x == whole), whole.cast("string")).otherwise(F.trim(c.cast("string")))
+    """Canonical dose: numbers by value (2.0 is 2, 0.50 is 0.5), other texts such as 'all' trimmed, '<missing>' for nothing."""
+    x = finite(c.cast("string"))
+    number = F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(x.cast("string"))
+    return F.when(missing(c), "<missing>").otherwise(F.coalesce(number, F.trim(c.cast("string"))))
 
 
 def softmax(nll: Column) -> Column:
@@ -48,7 +48,7 @@ def predicted_index(nll: Column) -> Column:
 def gold_margin(nll: Column, gold: Column) -> Column:
     """Best distractor minus gold; gold is a 1-based place."""
     others = F.filter(nll, lambda x, i: (i + 1) != gold)
-    return F.array_min(others) - F.get(nll, gold - 1)
+    return F.array_min(others) - F.get(nll, gold - 1) + F.lit(0.0)
 
 
 def brier(p: Column, gold: Column) -> Column:
@@ -65,15 +65,9 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
 
 
 def stable_id(*parts: Column) -> Column:
-    """First 20 hex digits of the SHA-1 of the ::-joined parts."""
-    return F.substring(F.sha1(F.concat_ws("::", *(p.cast("string") for p in parts))), 1, 20)
+    """First 20 hex digits of the SHA-1 of the parts as texts joined by ::; a missing part is the text None, not left out."""
+    return F.substring(F.sha1(F.concat_ws("::", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))), 1, 20)
 
 
 def hash_rank(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
-
-
-def semantic(c: Column) -> Column:
-    """Lower case, white space collapsed; blank is null."""
-    t = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    return F.when(t != "", t)

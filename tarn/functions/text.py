@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .fields import folded
+
 
 def option_label(place: Column) -> Column:
     """The letter of a 0-based place."""
@@ -27,14 +29,18 @@ def prompt(question: Column, choices: Column) -> Column:
 def normalized_answer(answer: Column, choices: Column) -> Column:
     """The letter of an answer given as a letter, alone or in brackets, or as a choice's text; null if none or several fit."""
     said = F.trim(answer)
-    letter = F.upper(F.regexp_extract(said, r"^\(?([A-Za-z])\)?[.:]?$", 1))
-    folded = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    letter = F.upper(F.regexp_extract(said, r"^\(?\s*([A-Za-z])\s*\)?[.):]?$", 1))
     place = F.ascii(letter) - 65
     same = F.filter(F.sequence(F.lit(0), F.size(choices) - 1), lambda i: folded(F.get(choices, i)) == folded(said))
     by_text = F.when(F.size(same) == 1, option_label(F.get(same, 0)))
     return F.when((letter != "") & (place < F.size(choices)), letter).otherwise(by_text)
 
 
+def answer_text(answer: Column, choices: Column) -> Column:
+    """The text of the answer's choice."""
+    return F.get(choices, F.ascii(normalized_answer(answer, choices)) - 65)
+
+
 def safe_id(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "_")
 
@@ -55,7 +61,8 @@ def restored(choices: Column, order: Column) -> Column:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    return F.format_string("%.1f%%", F.when(whole == 0, 0.0).otherwise(100.0 * part / whole))
+    """A share in percent, one decimal; an empty text for a total of nothing."""
+    return F.when(F.coalesce(whole, F.lit(0)) == 0, "").otherwise(F.format_string("%.1f%%", 100.0 * part / whole))
 
 
 @F.pandas_udf(StringType())
@@ -66,4 +73,4 @@ def semantic_text(texts: pd.Series) -> pd.Series:
 
 def time_text(seconds: Column) -> Column:
     """Seconds with at most three decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.3f", seconds.cast("double")), r"\.?0+$", "")
+    return F.when(seconds.isNotNull(), F.regexp_replace(F.format_string("%.3f", seconds.cast("double")), r"\.?0+$", ""))

@@ -67,20 +67,13 @@ def dose_curve(points: DataFrame, group: list[str], dose: str, gain: str, share:
     return out.withColumn("first_at_share", F.coalesce(reached, F.lit(False)))
 
 
-def bootstrap_interval(rows: DataFrame, value: str, cluster: str, replicates: int, draw: Column, level: float = 0.95) -> DataFrame:
-    """estimate, low, high of the mean over cluster resamples.
+def bootstrap_interval(rows: DataFrame, value: str, cluster: str, replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """estimate, low, high of the mean over cluster resamples."""
+    from . import resampling
 
-    Rows are first summed by cluster; draws meet the numbered clusters in an equi-join. draw: an expression of the
-    columns r (replicate), i (draw) and g (number of clusters) that gives a cluster number from 0.
-    """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("num"), F.count(value).alias("den"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy(cluster)) - 1)  # one row a cluster
-    size = sums.agg(F.count("*").alias("g"), (F.sum("num") / F.sum("den")).alias("estimate"))
-    draws = size.select("g", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("g"))).alias("i")).select("r", draw.cast("int").alias("k"))
-    counts = draws.groupBy("r", "k").count()
-    theta = counts.join(numbered, "k").groupBy("r").agg((F.sum(F.col("count") * F.col("num")) / F.sum(F.col("count") * F.col("den"))).alias("theta"))
-    ends = theta.agg(F.percentile("theta", (1 - level) / 2).alias("low"), F.percentile("theta", (1 + level) / 2).alias("high"))
-    return size.select("estimate", F.lit(1).alias("__one")).join(ends.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    sums = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("num_mean"), F.count(value).cast("double").alias("den_mean"))
+    out = resampling.intervals(sums, [], cluster, ["mean"], replicates, seed, level)
+    return out.select(F.col("mean").alias("estimate"), F.col("mean_ci_low").alias("low"), F.col("mean_ci_high").alias("high"))
 
 
 def expanded(bases: DataFrame, conditions: DataFrame, choices: int) -> DataFrame:
@@ -91,30 +84,41 @@ def expanded(bases: DataFrame, conditions: DataFrame, choices: int) -> DataFrame
 
 
 def ranked(table: DataFrame, metrics: list[str], inverted: list[str], name: str) -> DataFrame:
-    """Min-max scaled metrics (a constant one counts 0), their mean and the order by it."""
+    """Min-max scaled metrics (a constant one is 0 before an inversion, so 1 after it), their mean and the order by it."""
     whole = Window.partitionBy()  # a report table: one row a system
     scale = {}
     for m in metrics:
         low, high = F.min(m).over(whole), F.max(m).over(whole)
         x = F.when(high > low, (F.col(m) - low) / (high - low)).otherwise(0.0)
-        scale[f"{m}_scaled"] = F.when(high > low, 1 - x).otherwise(0.0) if m in inverted else x
+        scale[f"{m}_scaled"] = 1 - x if m in inverted else x
     out = table.withColumns(scale)
     out = out.withColumn("overall", sum(F.col(c) for c in scale) / len(scale))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("overall"), name)))
 
 
-def label_questions(rows: DataFrame, key: str, label: str, distractors: int, most: int = 10_000) -> DataFrame:
-    """Multiple-choice rows from labels: the answer and the other labels with the smallest digests of key and label, in
-    the order of a second digest. Adds choices and answer (a letter). The distinct labels are counted first; more than
-    `most` of them raise ValueError, as each row weighs them all.
+def label_questions(rows: DataFrame, key: str, label: str, distractors: int, broadcast_labels: int = 100_000) -> DataFrame:
+    """Multiple-choice rows from labels: the answer and `distractors` other labels (all, if fewer), in the order of a digest.
+
+    The distinct labels stand in a ring by their digests; a row takes the next ones from a place that its key's digest
+    gives. So a row looks at distractors + 1 labels, however many there are; the numbered labels are broadcast up to
+    `broadcast_labels` and joined by shuffle beyond. Keys are unique. Adds choices and answer (a letter).
     """
-    names = rows.select(label).where(F.col(label).isNotNull()).distinct()
-    found = [r[0] for r in names.limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} labels")
-    digest = lambda x, *salt: F.sha2(F.concat_ws("|", *salt, F.col(key).cast("string"), x), 256)
-    others = F.filter(F.array(*map(F.lit, sorted(found))), lambda x: x != F.col(label))
-    near = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(digest(x).alias("h"), x.alias("x")))), 1, distractors)
-    shown = F.transform(F.concat(F.transform(near, lambda t: t.x), F.array(label)), lambda x: F.struct(digest(x, F.lit("order")).alias("h"), x.alias("x")))
-    out = rows.where(F.col(label).isNotNull()).withColumn("choices", F.transform(F.array_sort(shown), lambda t: t.x))
+    from ..functions.digests import hex_mod, numbered
+
+    usable = rows.where(F.col(label).isNotNull())
+    digest = lambda x, *salt: F.sha2(F.concat_ws("|", *salt, x), 256)
+    ring = numbered(usable.select(F.col(label).alias("__x")).distinct().withColumn("__h", digest(F.col("__x"))), ["__h", "__x"]).drop("__h")
+    ring = ring.withColumnRenamed("number", "__at")
+    size = ring.count()
+    places = F.transform(F.sequence(F.lit(0), F.lit(max(0, min(distractors, size - 1)))), lambda j: (F.col("__from") + j) % max(1, size))
+    asked = usable.select(key, F.col(label).alias("__own"), hex_mod(F.substring(digest(F.col(key).cast("string")), 1, 15), max(1, size)).alias("__from"))
+    asked = asked.withColumn("__places", places).select(key, "__own", F.posexplode("__places").alias("__n", "__at"))
+    met = asked.join(F.broadcast(ring) if size <= broadcast_labels else ring, "__at").where("__x <> __own")
+    near = met.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("__n", "__x"))), 1, distractors).alias("__near"))
+    out = usable.join(near, key, "left")
+    others = F.coalesce(F.transform("__near", lambda t: t["__x"]), F.array().cast("array<string>"))
+    shown = F.transform(F.concat(others, F.array(label)), lambda x: F.struct(digest(x, F.lit("order"), F.col(key).cast("string")).alias("h"), x.alias("x")))
+    out = out.withColumn("choices", F.transform(F.array_sort(shown), lambda t: t.x)).drop("__near")
     return out.withColumn("answer", F.char(F.array_position("choices", F.col(label)) + 64))
+
+

@@ -192,8 +192,10 @@ def quota_sample(spark, d):
     return R.quota(_table(spark, d, "orders"), "o_orderpriority", 20, F.sha2(F.concat_ws("|", F.lit("42"), F.col("o_orderkey").cast("string")), 256), "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
-@_query("label_questions", """WITH u AS (SELECT DISTINCT p_brand AS b FROM part), c AS (SELECT p_partkey, p_brand, b, sha256(concat_ws('|', CAST(p_partkey AS VARCHAR), b)) h FROM part JOIN u ON b <> p_brand),
-k AS (SELECT p_partkey, p_brand, b FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY h, b) <= 3 UNION ALL SELECT p_partkey, p_brand, p_brand FROM part),
+@_query("label_questions", """WITH u AS (SELECT b, row_number() OVER (ORDER BY sha256(b), b) - 1 AS at, count(*) OVER () AS size FROM (SELECT DISTINCT p_brand AS b FROM part)),
+s AS (SELECT p_partkey, p_brand, CAST(('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 15))::BIGINT % (SELECT max(size) FROM u) AS BIGINT) AS start FROM part),
+c AS (SELECT p_partkey, p_brand, b, j FROM s, (SELECT max(size) AS z FROM u), range(0, 4) r(j) JOIN u ON at = (start + j) % z WHERE j < z AND b <> p_brand),
+k AS (SELECT p_partkey, p_brand, b FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j) <= 3 UNION ALL SELECT p_partkey, p_brand, p_brand FROM part),
 o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(concat_ws('|', 'order', CAST(p_partkey AS VARCHAR), b)), b) n FROM k)
 SELECT p_partkey, string_agg(b, '|' ORDER BY n) AS choices, max(chr(CAST(64 + n AS INTEGER))) FILTER (b = p_brand) AS answer FROM o GROUP BY 1""")
 def label_questions(spark, d):
@@ -206,6 +208,18 @@ def far_distance(spark, d):
     return V.far_distance(_table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", *_r("far"))
 
 
+@_query("gap_correlation", """WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, embedding::DOUBLE[] e FROM embeddings)
+SELECT a.label AS label, round(corr(b.k - a.k, 1 - list_cosine_similarity(a.e, b.e)), 5) AS correlation FROM v a JOIN v b ON a.label = b.label AND b.k > a.k GROUP BY 1""")
+def gap_correlation(spark, d):
+    return V.gap_correlation(_table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", F.round("correlation", 5).alias("correlation"))
+
+
+@_query("label_agreement", """WITH s AS (SELECT a.vec_id AS q, a.label AS l, b.label AS o, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+k AS (SELECT q, max(CAST(r = 1 AND l = o AS INTEGER)) AS f, max(CAST(l = o AS INTEGER)) AS n FROM s WHERE r <= 5 GROUP BY q) SELECT count(*) AS examples, round(avg(f), 6) AS top1, round(avg(n), 6) AS topk FROM k""")
+def label_agreement(spark, d):
+    return V.label_agreement(_table(spark, d, "embeddings"), "vec_id", "label", "embedding", 5).select("examples", *_r("top1", "topk"))
+
+
 @_query("two_way_closure", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders) SELECT 'missing' AS side, k, v FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'extra', k, v FROM (FROM b EXCEPT ALL FROM a)")
 def two_way_closure(spark, d):
     orders = _table(spark, d, "orders")

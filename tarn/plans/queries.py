@@ -99,13 +99,12 @@ def dose_curve(spark, d):
     return E.dose_curve(points, ["condition"], "dose", "gain").withColumn("dose_index", F.col("dose_index").cast("long")).select("condition", "dose", "rows", "dose_index", *_r("gain", "running_gain", "threshold"), "first_at_share")
 
 
-@_query("bootstrap_mean", f"""WITH {P}, s AS (SELECT cluster, sum(correct) num, count(correct) den FROM scored GROUP BY cluster), c AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k FROM s),
-z AS (SELECT count(*) AS g, sum(num) / sum(den) AS estimate FROM s), w AS (SELECT r, (r * 7919 + i * 104729 + (r * i) % 1009 * 31) % g AS k FROM z, range(1, 201) a(r), LATERAL (SELECT unnest(range(1, g + 1)) AS i)),
+@_query("bootstrap_mean", f"""WITH {P}, s AS (SELECT cluster, sum(correct) num, count(correct) den FROM scored GROUP BY cluster), c AS (SELECT *, row_number() OVER (ORDER BY CAST(cluster AS VARCHAR)) - 1 AS k FROM s),
+z AS (SELECT count(*) AS g, sum(num) / sum(den) AS estimate FROM s), w AS (SELECT r, (('0x' || substr(md5(concat_ws('|', '42', '', r, i)), 1, 15))::BIGINT) % g AS k FROM z, range(1, 201) a(r), LATERAL (SELECT unnest(range(1, g + 1)) AS i)),
 t AS (SELECT r, sum(num) / sum(den) AS theta FROM w JOIN c USING (k) GROUP BY r)
 SELECT round(estimate, 6) AS estimate, round(quantile_cont(theta, 0.025), 6) AS low, round(quantile_cont(theta, 0.975), 6) AS high FROM t, z GROUP BY estimate""")
 def bootstrap_mean(spark, d):
-    draw = (F.col("r") * 7919 + F.col("i") * 104729 + (F.col("r") * F.col("i")) % 1009 * 31) % F.col("g")
-    return E.bootstrap_interval(E.scored(trials(spark, d)), "correct", "cluster", 200, draw).select(*_r("estimate", "low", "high"))
+    return E.bootstrap_interval(E.scored(trials(spark, d)), "correct", "cluster", 200).select(*_r("estimate", "low", "high"))
 
 
 @_query("unique_index", f"WITH {P} SELECT trial_id, max(base_id) AS base_id FROM trials GROUP BY trial_id HAVING count(*) = 1")
@@ -220,7 +219,7 @@ def event_windows(spark, d):
     return event_counts(_table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import designs, records  # noqa: E402, F401  register their queries
+from . import designs, records, reports  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
