@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import U64, as_long, lean, mixed, stored
 from .words import digest128, hashes_at, run_hashes, single_spaced, word_places
 
-BLOCK_BYTES = 2 << 20  # texts whose repeats are found before the first shuffle
+BLOCK_BYTES = 1 << 20  # texts whose repeats are found before the first shuffle
 HOT_EVERY, HOT_KEYS, HOT_ROWS = 16, 20_000, 32  # share of documents looked at, hot minimizers at most, their rows there
 PATHS = "m long, c long, d long, doc_id long, copy int, start int, n int, dup boolean"
 _PATHS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
