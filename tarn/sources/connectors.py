@@ -213,7 +213,7 @@ def paired_videos(rows: DataFrame, root: str, split: str, category: str = "unkno
     """Rows named <pair>_1 and <pair>_2: same question and candidates, other video, other answer; _1 is the original."""
     said = F.trim("video_id")
     out = rows.withColumns({
-        "pair": F.regexp_extract(said, r"^(.+)_([12])$", 1), "role": F.regexp_extract(said, r"^(.+)_([12])$", 2).try_cast("int"), "choices": F.transform("candidates", F.trim), "kind": F.coalesce(F.when(~missing(F.col("category")), F.col("category")), F.lit(category)),
+        "pair": F.regexp_extract(said, r"^(.+)_([12])$", 1), "role": F.regexp_extract(said, r"^(.+)_([12])$", 2).try_cast("int"), "choices": F.transform("candidates", lambda t: F.trim(t)), "kind": F.coalesce(F.when(~missing(F.col("category")), F.col("category")), F.lit(category)),
     }).withColumn("letter", text_answer(F.col("answer"), F.col("choices")))
     folded = F.transform("choices", X.folded)
     group = out.groupBy("pair").agg(
@@ -257,7 +257,7 @@ def labelled_question(said: Column, answer: Column) -> Column:
     label, text = F.regexp_extract(answer, _LINE, 1), F.regexp_extract(answer, _LINE, 2)
     named = F.array_contains(labels, label) & (X.folded(F.get(choices, F.ascii(label) - 65)) == X.folded(text))
     letter = F.when(label != "", F.when(named, label)).otherwise(text_answer(answer, choices))
-    prompt = F.array_join(F.transform(F.filter(lines, lambda x: ~is_choice(x)), F.trim), "\n")
+    prompt = F.array_join(F.transform(F.filter(lines, lambda x: ~is_choice(x)), lambda t: F.trim(t)), "\n")
     problem = (
         F.when(missing(said), "no question").when(late, "text after the options").when((prompt == "") | (F.size(options) < 2), "a prompt and two options are needed").when(labels != expected, "labels must be contiguous")
         .when(missing(answer), "no answer").when(letter.isNull(), "the answer matches no option")
@@ -319,7 +319,7 @@ def task_questions(rows: DataFrame, root: str, split: str, dataset: str = "tvben
     """rows with a column `task`: the union of the task files. Two tasks need an interval, the accurate one first where there is one."""
     span = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("start"), F.col(b).alias("end")))
     interval = F.when(F.col("task") == "action_localization", F.coalesce(span("accurate_start", "accurate_end"), span("start", "end"))).when(F.col("task") == "action_sequence", span("start", "end"))
-    out = rows.withColumn("span", interval).withColumn("choices", F.transform("candidates", F.trim)).withColumn("__i", F.row_number().over(Window.partitionBy("task").orderBy("question_id", "video", "question")) - 1)
+    out = rows.withColumn("span", interval).withColumn("choices", F.transform("candidates", lambda t: F.trim(t))).withColumn("__i", F.row_number().over(Window.partitionBy("task").orderBy("question_id", "video", "question")) - 1)
     needs = F.col("task").isin("action_localization", "action_sequence")
     source = X.id_component(F.col("question_id"), F.concat(F.lit("row:"), F.col("__i").cast("string")))
     answer = text_answer(F.col("answer"), F.col("choices"))
@@ -411,7 +411,7 @@ def tracked_videos(videos: DataFrame, cuts: DataFrame | None, root: str, split:
         (F.exists(F.coalesce(F.col("v.object_tracking"), F.array()), lambda t: track_issue(t).isNotNull()), "a faulty track"), (segments("action_localisation"), "a faulty action"), (segments("sound_localisation"), "a faulty sound"),
     ]
     rows = rows.withColumns({"clip_end": cut, "oracles": track_oracles(F.col("v"), cut, audio), "video_problems": _problems(*video_rules)})
-    rows = rows.select("*", F.explode("v.mc_question").alias("q")).withColumn("choices", F.transform("q.options", F.trim))
+    rows = rows.select("*", F.explode("v.mc_question").alias("q")).withColumn("choices", F.transform("q.options", lambda t: F.trim(t)))
     answer = X.integer_answer(F.col("q.answer_id"), F.col("choices"), 0)
     area, reasoning = F.trim("q.area"), F.trim("q.reasoning")
     rules = [(F.col("q.id").isNull(), "id"), *candidate_issues(F.col("choices")), (answer.isNull(), "answer_id"), (missing(area), "area"), (missing(reasoning), "reasoning"), (missing(F.col("q.question")), "question")]

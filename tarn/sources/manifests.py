@@ -239,7 +239,7 @@ def fewer_than(rows: DataFrame, least: int) -> bool:
 
 def two_choice_question(said: Column) -> Column:
     """struct(question, choices) of lines: lettered ones are choices, the instruction line goes; null unless there are two."""
-    lines = F.filter(F.transform(F.split(said, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(said, r"\r\n|[\n\r]"), lambda t: F.trim(t)), lambda x: x != "")
     pattern = r"^\(?([A-Za-z])[.):]\s*(.+)$"
     choices = F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.trim(F.regexp_extract(x, pattern, 2)))
     rest = F.filter(lines, lambda x: ~x.rlike(pattern) & ~F.lower(x).startswith("answer with the option"))
@@ -249,7 +249,7 @@ def two_choice_question(said: Column) -> Column:
 def categories(rows: DataFrame) -> DataFrame:
     """group_id, major_category, minor_categories, categories of rows (index, major, minor): minor ones are split at semicolons."""
     major = F.coalesce(F.when(~missing(F.col("major")), F.trim("major")), F.lit("unknown"))
-    minor = F.filter(F.transform(F.split(F.coalesce("minor", F.lit("")), ";"), F.trim), lambda x: x != "")
+    minor = F.filter(F.transform(F.split(F.coalesce("minor", F.lit("")), ";"), lambda t: F.trim(t)), lambda x: x != "")
     return rows.select(F.col("index").cast("int").alias("group_id"), major.alias("major_category"), minor.alias("minor_categories"), F.concat(F.array(major), minor).alias("categories"))
 
 

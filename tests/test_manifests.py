@@ -34,7 +34,7 @@ def test_trees_and_answers(spark):
     documents = spark.createDataFrame([("f", json.dumps(tree))], "file string, t string").select("file", F.parse_json("t").alias("v"))
     items = M.mcq_items(documents, 4).withColumn("raw", F.coalesce(F.try_variant_get("v", "$.options", "variant"), F.try_variant_get("v", "$.candidates", "variant"))).withColumn("c", M.choice_list(F.col("raw")))
     got = {r.q: (r.c, r.a) for r in items.select(M.value(F.col("v"), ["question"]).alias("q"), "c", M.any_answer(F.variant_get("v", "$.answer", "variant"), F.col("c")).alias("a")).collect()}
-    assert got == {"Q1": (["one", "two"], "B"), "Q2": (["u"], "A")}
+    assert got == {"Q1": (["one", "two"], "B"), "Q2": (["u"], "U")}
     keyed = spark.createDataFrame([('{"Question": "q", "answer": ""}',)], "t string").select(F.parse_json("t").alias("v"))
     assert keyed.select(M.value(F.col("v"), ["question"], any_case=True).alias("a"), M.value(F.col("v"), ["answer"]).alias("b")).first() == ("q", None)
     said = spark.createDataFrame([("b", ["x", "y"]), ("Y", ["x", "y"]), ("z", None), (None, ["x"])], "a string, c array<string>").select(M.choice_answer(F.col("a"), F.col("c")).alias("l")).collect()
