@@ -192,9 +192,9 @@ def quota_sample(spark, d):
     return R.quota(_table(spark, d, "orders"), "o_orderpriority", 20, F.sha2(F.concat_ws("|", F.lit("42"), F.col("o_orderkey").cast("string")), 256), "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
-@_query("label_questions", """WITH u AS (SELECT b, row_number() OVER (ORDER BY sha256(b), b) - 1 AS at, count(*) OVER () AS size FROM (SELECT DISTINCT p_brand AS b FROM part)),
+@_query("label_questions", """WITH u AS (SELECT b, row_number() OVER (ORDER BY sha256(b), b) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT p_brand AS b FROM part)),
 s AS (SELECT p_partkey, p_brand, CAST(('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 15))::BIGINT % (SELECT max(size) FROM u) AS BIGINT) AS start FROM part),
-c AS (SELECT p_partkey, p_brand, b, j FROM s, (SELECT max(size) AS z FROM u), range(0, 4) r(j) JOIN u ON at = (start + j) % z WHERE j < z AND b <> p_brand),
+c AS (SELECT p_partkey, p_brand, b, j FROM s, (SELECT max(size) AS z FROM u), range(0, 4) r(j) JOIN u ON pos = (start + j) % z WHERE j < z AND b <> p_brand),
 k AS (SELECT p_partkey, p_brand, b FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j) <= 3 UNION ALL SELECT p_partkey, p_brand, p_brand FROM part),
 o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(concat_ws('|', 'order', CAST(p_partkey AS VARCHAR), b)), b) n FROM k)
 SELECT p_partkey, string_agg(b, '|' ORDER BY n) AS choices, max(chr(CAST(64 + n AS INTEGER))) FILTER (b = p_brand) AS answer FROM o GROUP BY 1""")

@@ -219,7 +219,7 @@ def event_windows(spark, d):
     return event_counts(_table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import designs, records, reports  # noqa: E402, F401  register their queries
+from . import designs, records, reports, strict  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
