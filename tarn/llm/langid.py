@@ -4,7 +4,7 @@ Bytes are embedded; filters of several widths run over them, each filter's large
 softmax layer turns these into languages. Training uses fixed windows of a bounded sample of labelled documents
 (`SAMPLE` documents of each language, by hash of doc_id, from the training folds, and of each `SAMPLE_WINDOWS` windows,
 drawn by hash from its whole text; every label is a language). For prediction the whole text is cut into windows of `WINDOW` bytes and the probabilities are
-averaged by window length. A filter over two bytes is one table row, so a window costs a few gathers a byte.
+averaged by window length; no filter runs over a window's end. A filter over two bytes is one table row, so a window costs a few gathers a byte.
 
 Defined results: null text or no letter: `und`, score 0; with no labelled rows at all every prediction is `und`; texts
 of under four bytes use the positions they have. Predictions read the text alone.
@@ -103,15 +103,14 @@ class Network:
         size = np.minimum(begin + WINDOW, offsets[doc + 1]) - begin
         wide = np.concatenate([raw, np.zeros(4, np.uint8)])
         pairs = wide[:-1].astype(np.uint16) << 8 | wide[1:]
-        last = offsets[1:][lens > 0]
         pooled = []
         for w in WIDTHS:
             conv = np.take(tables["pair"][w, 0], pairs[: len(raw)], axis=0)
             for o in range(2, w, 2):
                 conv += np.take(tables["pair"][w, o], pairs[o : o + len(raw)], axis=0) if o + 1 < w else np.take(tables["one"][w, o], wide[o : o + len(raw)], axis=0)
-            for back in range(1, w):  # positions that would run over a text's end
-                at = last - back
-                conv[at[(at >= 0)]] = -np.inf
+            for back in range(1, w):  # positions that would run over a window's end, as in training
+                at = begin + size - back
+                conv[at[at >= begin]] = -np.inf
             pooled.append(np.maximum.reduceat(conv, begin, axis=0) + self.p[f"b{w}"].astype(np.float32))
         h = np.maximum(np.concatenate(pooled, 1), 0)
         z = h @ self.p["o"] + self.p["c"]
@@ -207,13 +206,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return predicted(rows, net).drop("text")
 
 
-def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
+CLEAR = 1.6  # how many even shares of the learned languages a clear language has
+
+
+def in_known_language(docs: DataFrame, least: float | None = None) -> DataFrame:
     """docs whose text has letters and a language predicted with at least this score; columns as they were.
 
-    A text of several languages keeps a winner well above an even share of the four trained here; what goes is text
-    without letters and text that the network finds no more like one language than another.
+    The score asked for follows from the number of languages learned: CLEAR times an even share, of four at least (0.4
+    for four of them). A text of several languages keeps a winner above that; what goes is text without letters and text
+    that the network finds hardly more like one language than another.
     """
     net = fitted(docs)
+    least = CLEAR / max(4, len(net.labels)) if least is None else least
     clash = {n: f"__in_{n}" for n in docs.columns if n in ("lang_pred", "score")}
     out = predicted(docs.withColumnsRenamed(clash), net).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
     return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -727,6 +727,84 @@ def test_language_whole_texts(spark):
     assert len(langid.fitted(many).labels) == 260
 
 
+def plain_probabilities(net, raw):
+    """The network on one text, window by window, place by place."""
+    from tarn.llm import langid as L
+
+    out, p = np.zeros(len(net.labels)), net.p
+    for at in range(0, len(raw), L.WINDOW):
+        x, pooled = raw[at : at + L.WINDOW], []
+        for w in L.WIDTHS:
+            conv = [np.concatenate([p["e"][b] for b in x[i : i + w]]) @ p[f"w{w}"] for i in range(len(x) - w + 1)]
+            pooled.append(np.max(conv, 0) + p[f"b{w}"] if conv else np.full(L.FILTERS, -np.inf))
+        z = np.maximum(np.concatenate(pooled), 0) @ p["o"] + p["c"]
+        z = np.exp(z - z.max())
+        out += z / z.sum() * len(x)
+    return out / max(1, len(raw))
+
+
+def test_language_network():
+    """Probabilities of texts of any length against the plain network, cut into blocks too; the gradient against differences."""
+    import pyarrow as pa
+
+    from tarn.llm import langid as L
+
+    rng = np.random.default_rng(4)
+    net = L.Network(["a", "b", "c"])
+    for k in net.p:
+        net.p[k] = rng.normal(0, 0.7, net.p[k].shape)
+    texts = ["", "a", "é", "abc", "x" * 255, "y" * 256, "z" * 257, "".join(map(chr, rng.integers(32, 700, 900)))]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    want = [plain_probabilities(net, r) for r in raws]
+    flat, offsets = np.concatenate(raws), np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+    assert np.allclose(net.probabilities(flat, offsets, net.tables()), want, atol=2e-5)
+    before, L.BLOCK = L.BLOCK, 2 * L.WINDOW
+    try:
+        got = [r for b in L._predict(net, ["t"])(iter([pa.record_batch([pa.array(texts), pa.array(texts)], names=["t", "text"])])) for r in b.to_pylist()]
+    finally:
+        L.BLOCK = before
+    assert all(r["lang_pred"] == "und" or (r["lang_pred"] == net.labels[int(w.argmax())] and abs(r["score"] - w.max()) < 2e-5) for r, w in zip(got, want))
+    x, y = rng.integers(0, 256, (6, 40)).astype(np.uint8), rng.integers(0, 3, 6)
+
+    def loss():
+        total = 0.0
+        for row, label in zip(x, y):
+            pooled = [np.max([np.concatenate([net.p["e"][b] for b in row[i : i + w]]) @ net.p[f"w{w}"] for i in range(len(row) - w + 1)], 0) + net.p[f"b{w}"] for w in L.WIDTHS]
+            z = np.maximum(np.concatenate(pooled), 0) @ net.p["o"] + net.p["c"]
+            total += np.log(np.exp(z - z.max()).sum()) + z.max() - z[label]
+        return total / len(x) + 0.5e-4 * (net.p["o"] ** 2).sum()
+
+    g = net._gradients(x, y)
+    for k in net.p:
+        for place in rng.integers(0, net.p[k].size, 4):
+            at = np.unravel_index(place if k != "e" else int(x[0, 0]) * L.EMBED + place % L.EMBED, net.p[k].shape)
+            kept, step = net.p[k][at], 1e-6
+            net.p[k][at] = kept + step
+            up = loss()
+            net.p[k][at] = kept - step
+            down = loss()
+            net.p[k][at] = kept
+            assert abs((up - down) / (2 * step) - g[k][at]) < 1e-4, k
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows: the stages keep what they should and the last packs it all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words) + " end", None, "", "12 34", "write to a@b.cc now please, it is a long way to the end of this text", " ".join(words[::-1])]
+    rows = [(i, t, "en" if i % 2 else None, None if i == 5 else "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(5, texts[5], None, "s", 3), (None, "a text without a number that stays", "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = docs.collect()
+    assert collections.Counter(r.doc_id for r in kept) == {0: 1, 5: 2, 6: 1, None: 1}
+    assert all("a@b.cc" not in r.text for r in kept) and all(r.n_chars == len(r.text) for r in kept)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {0, 5, 6, None} and sum(r.length for r in pieces if r.doc_id == 5) == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 5)
+
+
 @pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op5_exact_topk", "op10_substring_dedup"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
