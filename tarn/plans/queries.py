@@ -45,11 +45,11 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]  # no negative zero
 
 
 def _rs(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
