@@ -18,16 +18,23 @@ def role_pairs(rows: DataFrame, keys: list[str], role: str, first: str, second:
     )
 
 
-def pair_metrics(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Flip and invariance rates of role_pairs over complete keys, with coverage and ambiguity."""
-    whole = (F.col("n1") == 1) & (F.col("n2") == 1)
+PAIR_METRICS = ["both_correct", "semantic_flip", "correct_semantic_flip", "invariance", "correct_invariance"]
+
+
+def pair_observations(pairs: DataFrame) -> DataFrame:
+    """role_pairs with `whole` (one row of each role) and, where it holds, every pair metric as 0 or 1."""
     both = (F.col("correct1") == 1) & (F.col("correct2") == 1)
     flip, gold_flip = F.col("prediction1") != F.col("prediction2"), F.col("gold1") != F.col("gold2")
-    share = lambda c: F.avg(F.when(whole, c.cast("int")))
-    return pairs.groupBy(*group).agg(
-        F.count("*").alias("expected_units"), F.count_if(whole).alias("complete_units"), F.count_if((F.col("n1") > 1) | (F.col("n2") > 1)).alias("ambiguous_units"),
-        (F.count_if(whole) / F.count("*")).alias("coverage"), share(both).alias("both_correct"), share(flip).alias("semantic_flip"),
-        share(both & flip & gold_flip).alias("correct_semantic_flip"), share(~flip).alias("invariance"), share(both & ~flip & ~gold_flip).alias("correct_invariance"),
+    seen = pairs.withColumn("whole", (F.col("n1") == 1) & (F.col("n2") == 1))
+    found = zip(PAIR_METRICS, (both, flip, both & flip & gold_flip, ~flip, both & ~flip & ~gold_flip))
+    return seen.withColumns({name: F.when(F.col("whole"), c.cast("int")) for name, c in found})
+
+
+def pair_metrics(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Flip and invariance rates of role_pairs over complete keys, with coverage and ambiguity."""
+    return pair_observations(pairs).groupBy(*group).agg(
+        F.count("*").alias("expected_units"), F.count_if("whole").alias("complete_units"), F.count_if((F.col("n1") > 1) | (F.col("n2") > 1)).alias("ambiguous_units"),
+        (F.count_if("whole") / F.count("*")).alias("coverage"), *(F.avg(m).alias(m) for m in PAIR_METRICS),
     )
 
 

@@ -8,6 +8,7 @@ from ..functions import digests, sequences, text
 from ..operators import designs as D
 from ..operators import evaluation as E
 from ..operators import relational as R
+from ..operators import resampling
 from ..operators import vectors as V
 from .queries import P, _query, _r, _rs, _table, trials
 
@@ -25,18 +26,39 @@ def _moved_gold(spark, d):
 _MOVED = "moved AS (SELECT *, CAST((base_id + CAST(condition = 'R' AS INTEGER)) % 4 + 1 AS INTEGER) AS gold2, CAST(prediction = gold2 AS INTEGER) AS correct2 FROM scored)"
 
 
-@_query("pair_metrics", f"""WITH {P}, {_MOVED}, k AS (SELECT dataset, base_id, permutation, dose, count(*) FILTER (condition = 'A') n1, count(*) FILTER (condition = 'R') n2,
+_PAIRS = f"""{_MOVED}, k AS (SELECT dataset, cluster, base_id, permutation, dose, count(*) FILTER (condition = 'A') n1, count(*) FILTER (condition = 'R') n2,
   max(prediction) FILTER (condition = 'A') p1, max(prediction) FILTER (condition = 'R') p2, max(correct2) FILTER (condition = 'A') c1, max(correct2) FILTER (condition = 'R') c2,
   max(gold2) FILTER (condition = 'A') g1, max(gold2) FILTER (condition = 'R') g2 FROM moved WHERE condition IN ('A', 'R') GROUP BY ALL),
-w AS (SELECT *, n1 = 1 AND n2 = 1 AS whole, c1 = 1 AND c2 = 1 AS both_right FROM k)
+w AS (SELECT *, n1 = 1 AND n2 = 1 AS whole, c1 = 1 AND c2 = 1 AS both_right FROM k)"""
+
+
+def _role_pairs(spark, d):
+    return D.role_pairs(_moved_gold(spark, d), ["dataset", "cluster", "base_id", "permutation", "dose"], "condition", "A", "R")
+
+
+@_query("pair_metrics", f"""WITH {P}, {_PAIRS}
 SELECT dataset, count(*) AS expected_units, count(*) FILTER (whole) AS complete_units, count(*) FILTER (n1 > 1 OR n2 > 1) AS ambiguous_units, round(count(*) FILTER (whole) / count(*), 6) AS coverage,
   round(avg(CAST(both_right AS INTEGER)) FILTER (whole), 6) AS both_correct, round(avg(CAST(p1 <> p2 AS INTEGER)) FILTER (whole), 6) AS semantic_flip,
   round(avg(CAST(both_right AND p1 <> p2 AND g1 <> g2 AS INTEGER)) FILTER (whole), 6) AS correct_semantic_flip, round(avg(CAST(p1 = p2 AS INTEGER)) FILTER (whole), 6) AS invariance,
   round(avg(CAST(both_right AND p1 = p2 AND g1 = g2 AS INTEGER)) FILTER (whole), 6) AS correct_invariance FROM w GROUP BY dataset""")
 def pair_metrics(spark, d):
-    pairs = D.role_pairs(_moved_gold(spark, d), ["dataset", "base_id", "permutation", "dose"], "condition", "A", "R")
-    return D.pair_metrics(pairs, ["dataset"]).select(
-        "dataset", "expected_units", "complete_units", "ambiguous_units", *_r("coverage", "both_correct", "semantic_flip", "correct_semantic_flip", "invariance", "correct_invariance"))
+    return D.pair_metrics(_role_pairs(spark, d), ["dataset"]).select("dataset", "expected_units", "complete_units", "ambiguous_units", *_r("coverage", *D.PAIR_METRICS))
+
+
+@_query("pair_intervals", f"""WITH {P}, {_PAIRS},
+u AS (SELECT dataset, cluster, base_id, avg(CAST(both_right AS INTEGER)) AS b, avg(CAST(p1 = p2 AS INTEGER)) AS i FROM w WHERE whole GROUP BY ALL),
+s AS (SELECT dataset, cluster, sum(b) AS nb, sum(i) AS ni, count(*) AS n FROM u GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster::VARCHAR) - 1 AS place, count(*) OVER (PARTITION BY dataset) AS size FROM s),
+draws AS (SELECT dataset, r, (('0x' || substr(md5(concat_ws('|', '42', dataset, r, i)), 1, 15))::BIGINT) % size AS place FROM (SELECT dataset, max(size) AS size FROM q GROUP BY ALL), range(1, 31) a(r), LATERAL (SELECT unnest(range(1, size + 1)) AS i)),
+t AS (SELECT dataset, r, sum(nb) / sum(n) AS b, sum(ni) / sum(n) AS i FROM draws JOIN q USING (dataset, place) GROUP BY ALL),
+p AS (SELECT dataset, sum(nb) / sum(n) AS b, sum(ni) / sum(n) AS i FROM s GROUP BY ALL)
+SELECT dataset, round(any_value(p.b) + 1e-9, 6) AS both_correct, round(quantile_cont(t.b, 0.025) + 1e-9, 6) AS both_correct_ci_low, round(quantile_cont(t.b, 0.975) + 1e-9, 6) AS both_correct_ci_high,
+  round(any_value(p.i) + 1e-9, 6) AS invariance, round(quantile_cont(t.i, 0.025) + 1e-9, 6) AS invariance_ci_low, round(quantile_cont(t.i, 0.975) + 1e-9, 6) AS invariance_ci_high FROM t JOIN p USING (dataset) GROUP BY dataset""")
+def pair_intervals(spark, d):
+    seen = D.pair_observations(_role_pairs(spark, d)).where("whole")
+    out = resampling.unit_intervals(seen, ["dataset"], ["base_id"], "cluster", ["both_correct", "invariance"], 30)
+    names = [m + end for m in ("both_correct", "invariance") for end in ("", "_ci_low", "_ci_high")]
+    return out.select("dataset", *(F.round(F.col(n) + F.lit(1e-9), 6).alias(n) for n in names))
 
 
 @_query("permutation_metrics", f"""WITH {P}, v AS (SELECT dataset, cluster, base_id, prediction, count(*) n, min(correct) c FROM scored GROUP BY ALL),
