@@ -28,7 +28,7 @@ from .words import hashes_at
 VOCABULARY = "byte_bpe_50k.json"
 BATCH_BYTES = 2 << 20  # texts encoded together
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
-_NONE = np.int32(2**31 - 1)
+_NONE, _END = np.int32(2**31 - 2), np.int32(2**31 - 1)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -65,11 +65,9 @@ class ByteBPE:
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys, kind="stable")
         order = order[np.concatenate([[True], np.diff(keys[order]) != 0])]  # of equal pairs the first counts
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
-        pairs = self.first.astype(np.int64)[:, None] << 32 | self.first[None]  # of two bytes, so the first round needs no search
-        self.byte_place = np.minimum(np.searchsorted(self.keys, pairs.ravel()), len(self.keys) - 1)
-        self.byte_rank = np.where(self.keys[self.byte_place] == pairs.ravel(), self.rank[self.byte_place], _NONE).astype(np.int32)
-        self.byte_place = self.byte_place.astype(np.int32)
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made  # made goes by rank
+        two = np.arange(1 << 16)  # pairs of two bytes, so the first round needs no search
+        self.byte_rank = self._ranks(self.first[two >> 8], self.first[two & 0xFF])
         every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
         self.kind = np.zeros(0x110000, np.uint8)  # class of each code point
         for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
@@ -79,43 +77,49 @@ class ByteBPE:
         self.kind[0xD800:0xE000] = _OTHER
 
     def merge_rounds(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens (their bytes, flat, and n + 1 offsets), flat, and how many each has."""
-        symbols = self.first[raw]
-        word = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-        out_symbols, out_word = [], []
-        # of each symbol's pair with the next one: its place among the pairs, and its rank
-        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
-        place, rank = np.append(self.byte_place[pair], np.int32(0)), np.append(self.byte_rank[pair], _NONE)
-        rank[offs[1:-1][offs[1:-1] > 0] - 1] = _NONE
-        changed = np.zeros(0, np.int64)
-        while len(symbols):
-            key = symbols[changed].astype(np.int64) << 32 | symbols[changed + 1]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            place[changed] = found
-            rank[changed] = np.where((self.keys[found] == key) & (word[changed] == word[changed + 1]), self.rank[found], _NONE)
-            rank[-1] = _NONE
-            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            lowest = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(word))))
-            over = lowest == _NONE
-            out_symbols.append(symbols[over])
-            out_word.append(word[over])
-            run = np.flatnonzero((rank == lowest) & ~over)
-            if len(run):  # of overlapping occurrences every other one, from the left
-                start = np.concatenate([[True], np.diff(run) != 1])
-                lead = np.maximum.accumulate(np.where(start, np.arange(len(run)), 0))
+        """Ids of pre-tokens (their bytes, flat, and n + 1 offsets; none is empty), flat, and how many each has."""
+        counts, done = np.zeros(len(offs) - 1, np.int64), []
+        symbols, head, word = self.first[raw], offs[:-1], np.arange(len(offs) - 1)
+        # the rank of each symbol's pair with the next one: _NONE if it is no pair, _END at a word's last symbol
+        rank = np.append(self.byte_rank[raw[:-1].astype(np.int32) << 8 | raw[1:]], _END)
+        rank[offs[1:] - 1] = _END
+        while len(word):
+            size = np.diff(np.append(head, len(symbols)))
+            lowest = np.minimum.reduceat(rank, head)
+            over = lowest >= _NONE
+            run = np.flatnonzero(rank == np.repeat(np.where(over, np.int32(-1), lowest), size))
+            if 4 * int(size[over].sum()) > len(symbols) or not len(run):  # words without a known pair leave
+                gone = np.repeat(over, size)
+                counts[word[over]] = size[over]
+                done.append((word[over], symbols[gone]))
+                symbols, rank, word = symbols[~gone], rank[~gone], word[~over]
+                head = np.cumsum(size[~over]) - size[~over]
+                continue
+            beside = np.diff(run) == 1
+            if beside.any():  # of overlapping occurrences every other one, from the left
+                lead = np.maximum.accumulate(np.where(np.append(True, ~beside), np.arange(len(run)), 0))
                 run = run[(np.arange(len(run)) - lead) % 2 == 0]
-                symbols[run] = self.made[place[run]]
-            keep = ~over
+            symbols[run] = self.made[rank[run]]
+            rank[run] = rank[run + 1]
+            keep = np.ones(len(symbols), bool)
             keep[run + 1] = False
-            now = (np.cumsum(keep) - 1)[run]
-            symbols, word, place, rank = symbols[keep], word[keep], place[keep], rank[keep]
-            near = np.zeros(len(symbols) + 1, bool)
-            near[now] = near[now[now > 0] - 1] = True
-            changed = np.flatnonzero(near[: max(0, len(symbols) - 1)])
-        symbols = np.concatenate(out_symbols) if out_symbols else np.zeros(0, np.int32)
-        word = np.concatenate(out_word) if out_word else np.zeros(0, np.int64)
-        order = np.argsort(word, kind="stable")
-        return symbols[order], np.bincount(word, minlength=len(offs) - 1)
+            symbols, rank = symbols[keep], rank[keep]
+            head = head - np.searchsorted(run, head)
+            now = run - np.arange(len(run))
+            near = np.concatenate([now, now[now > 0] - 1])
+            near = near[rank[near] != _END]
+            rank[near] = self._ranks(symbols[near], symbols[near + 1])
+        ends, flat = np.cumsum(counts), np.zeros(int(counts.sum()), np.int32)
+        for who, said in done:
+            own = counts[who]
+            flat[np.arange(len(said)) + np.repeat(ends[who] - np.cumsum(own), own)] = said
+        return flat, counts
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, by binary search over the sorted pair keys."""
+        key = left.astype(np.int64) << 32 | right
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.rank[found], _NONE)
 
     def _special_places(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(start, end, id) of added tokens inside the texts, leftmost first, the longer of two at one place."""
