@@ -86,21 +86,22 @@ def verify_lock(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Four tables and a report; with --require-complete a faulty run fails after they are written."""
-    names = ("summary", "comparisons", "dose_curves", "issues")
+    """Five tables and a report; with --require-complete a faulty run fails after they are written."""
+    names = ("summary", "comparisons", "confirmatory", "dose_curves", "issues")
     outputs = {n: f"{a.out}/{n}.csv" for n in names} | {"report": f"{a.out}/report.json"}
     sinks.reject_aliases(outputs, {"predictions": a.predictions, "manifest": a.manifest})
     sinks.refuse_overwrite(outputs.values(), a.overwrite)
-    settings = P.resolve({"bootstrap_replicates": 2000, "seed": 42, "confidence_level": 0.95, "reference_condition": "full_video"}, P.analysis_settings(P.read_mapping(a.config)) if a.config else {}, {"bootstrap_replicates": a.replicates, "seed": a.seed}, a.locked)
+    settings = P.resolve({"bootstrap_replicates": 2000, "seed": 42, "confidence_level": 0.95, "reference_condition": "full_video", "confirmatory_comparisons": []}, P.analysis_settings(P.read_mapping(a.config)) if a.config else {}, {"bootstrap_replicates": a.replicates, "seed": a.seed}, a.locked)
     predictions = preparation.flattened(files.jsonl(spark, a.predictions, PREDICTIONS))
     manifest = preparation.flattened(files.jsonl(spark, a.manifest, MANIFEST)) if a.manifest else None
     observed, expected, issues = preparation.prepared(predictions, manifest)
     common = {"replicates": settings["bootstrap_replicates"], "seed": settings["seed"], "level": settings["confidence_level"]}
     tables = {
         "summary": reports.summary(observed, expected, **common), "comparisons": reports.comparisons(observed, expected, settings["reference_condition"], **common),
+        "confirmatory": reports.confirmatory(observed, expected, settings["confirmatory_comparisons"], **common),
         "dose_curves": reports.dose_curves(observed, expected, settings["reference_condition"], **common), "issues": preparation.issue_counts(issues),
     }
-    orders = {"summary": reports.GROUP, "comparisons": [*reports.STRATA, "comparison_type", "contrast", "requested_dose"], "dose_curves": [*reports.STRATA, "condition", "dose_index"], "issues": ["kind"]}
+    orders = {"summary": reports.GROUP, "comparisons": [*reports.STRATA, "comparison_type", "contrast", "requested_dose"], "confirmatory": ["contrast", *reports.CONFIRMATORY], "dose_curves": [*reports.STRATA, "condition", "dose_index"], "issues": ["kind"]}
     for name, table in tables.items():
         sinks.one_csv(table, outputs[name], orders[name], orders[name])
     wanted = expected.count() if expected is not None else 0

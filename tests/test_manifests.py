@@ -177,5 +177,9 @@ def test_verbs(spark, tmp_path):
     run = ["analyze", "--predictions", f"{t}/pred.jsonl", "--manifest", f"{t}/man.jsonl", "--out", f"{t}/out", "--replicates", "5"]
     assert cli.main(run, spark) == 0 and cli.main([*run, "--overwrite", "--require-complete"], spark) == 1
     assert len((tmp_path / "out" / "summary.csv").read_text().splitlines()) == 3 and "condition_vs_reference" in (tmp_path / "out" / "comparisons.csv").read_text()
+    (tmp_path / "s.yaml").write_text("analysis: {bootstrap_replicates: 5}\nconfirmatory_comparisons: [[full_video, question_only]]\n")
+    assert cli.main([*run, "--overwrite", "--config", f"{t}/s.yaml"], spark) == 0
+    stated = (tmp_path / "out" / "confirmatory.csv").read_text().splitlines()
+    assert len(stated) == 2 and "full_video_minus_question_only" in stated[1] and "broadcast_single_dose" in stated[1]
     with pytest.raises(FileExistsError):
         cli.main(run, spark)
