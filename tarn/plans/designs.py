@@ -36,6 +36,24 @@ def _role_pairs(spark, d):
     return D.role_pairs(_moved_gold(spark, d), ["dataset", "cluster", "base_id", "permutation", "dose"], "condition", "A", "R")
 
 
+def _intervals(rows, *metrics: str):
+    out = resampling.unit_intervals(rows, ["dataset"], ["base_id"], "cluster", list(metrics), 30)
+    return out.select("dataset", *(F.round(F.col(m + end) + F.lit(1e-9), 6).alias(m + end) for m in metrics for end in ("", "_ci_low", "_ci_high")))
+
+
+def _interval_sql(*metrics: str) -> str:
+    """What `_intervals` gives, from units (dataset, cluster, metrics that may be null)."""
+    each = lambda form: ", ".join(form.format(m=m) for m in metrics)
+    ends = "round(any_value(point.{m}) + 1e-9, 6) AS {m}, round(quantile_cont(theta.{m}, 0.025) + 1e-9, 6) AS {m}_ci_low, round(quantile_cont(theta.{m}, 0.975) + 1e-9, 6) AS {m}_ci_high"
+    return f"""sums AS (SELECT dataset, cluster, {each('sum({m}) AS {m}, count({m}) AS n_{m}')} FROM units GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster::VARCHAR) - 1 AS place, count(*) OVER (PARTITION BY dataset) AS size FROM sums),
+sizes AS (SELECT dataset, max(size) AS size FROM numbered GROUP BY ALL),
+draws AS (SELECT dataset, r, (('0x' || substr(md5(concat_ws('|', '42', dataset, r, i)), 1, 15))::BIGINT) % size AS place FROM sizes, range(1, 31) a(r), LATERAL (SELECT unnest(range(1, size + 1)) AS i)),
+theta AS (SELECT dataset, r, {each('sum({m}) / nullif(sum(n_{m}), 0) AS {m}')} FROM draws JOIN numbered USING (dataset, place) GROUP BY ALL),
+point AS (SELECT dataset, {each('sum({m}) / nullif(sum(n_{m}), 0) AS {m}')} FROM sums GROUP BY ALL)
+SELECT dataset, {each(ends)} FROM theta JOIN point USING (dataset) GROUP BY dataset"""
+
+
 @_query("pair_metrics", f"""WITH {P}, {_PAIRS}
 SELECT dataset, count(*) AS expected_units, count(*) FILTER (whole) AS complete_units, count(*) FILTER (n1 > 1 OR n2 > 1) AS ambiguous_units, round(count(*) FILTER (whole) / count(*), 6) AS coverage,
   round(avg(CAST(both_right AS INTEGER)) FILTER (whole), 6) AS both_correct, round(avg(CAST(p1 <> p2 AS INTEGER)) FILTER (whole), 6) AS semantic_flip,
@@ -46,24 +64,19 @@ def pair_metrics(spark, d):
 
 
 @_query("pair_intervals", f"""WITH {P}, {_PAIRS},
-u AS (SELECT dataset, cluster, base_id, avg(CAST(both_right AS INTEGER)) AS b, avg(CAST(p1 = p2 AS INTEGER)) AS i FROM w WHERE whole GROUP BY ALL),
-s AS (SELECT dataset, cluster, sum(b) AS nb, sum(i) AS ni, count(*) AS n FROM u GROUP BY ALL),
-q AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster::VARCHAR) - 1 AS place, count(*) OVER (PARTITION BY dataset) AS size FROM s),
-draws AS (SELECT dataset, r, (('0x' || substr(md5(concat_ws('|', '42', dataset, r, i)), 1, 15))::BIGINT) % size AS place FROM (SELECT dataset, max(size) AS size FROM q GROUP BY ALL), range(1, 31) a(r), LATERAL (SELECT unnest(range(1, size + 1)) AS i)),
-t AS (SELECT dataset, r, sum(nb) / sum(n) AS b, sum(ni) / sum(n) AS i FROM draws JOIN q USING (dataset, place) GROUP BY ALL),
-p AS (SELECT dataset, sum(nb) / sum(n) AS b, sum(ni) / sum(n) AS i FROM s GROUP BY ALL)
-SELECT dataset, round(any_value(p.b) + 1e-9, 6) AS both_correct, round(quantile_cont(t.b, 0.025) + 1e-9, 6) AS both_correct_ci_low, round(quantile_cont(t.b, 0.975) + 1e-9, 6) AS both_correct_ci_high,
-  round(any_value(p.i) + 1e-9, 6) AS invariance, round(quantile_cont(t.i, 0.025) + 1e-9, 6) AS invariance_ci_low, round(quantile_cont(t.i, 0.975) + 1e-9, 6) AS invariance_ci_high FROM t JOIN p USING (dataset) GROUP BY dataset""")
+units AS (SELECT dataset, cluster, base_id, avg(CAST(both_right AS INTEGER)) AS both_correct, avg(CAST(p1 = p2 AS INTEGER)) AS invariance FROM w WHERE whole GROUP BY ALL),
+{_interval_sql('both_correct', 'invariance')}""")
 def pair_intervals(spark, d):
     seen = D.pair_observations(_role_pairs(spark, d)).where("whole")
-    out = resampling.unit_intervals(seen, ["dataset"], ["base_id"], "cluster", ["both_correct", "invariance"], 30)
-    names = [m + end for m in ("both_correct", "invariance") for end in ("", "_ci_low", "_ci_high")]
-    return out.select("dataset", *(F.round(F.col(n) + F.lit(1e-9), 6).alias(n) for n in names))
+    return _intervals(seen, "both_correct", "invariance")
 
 
-@_query("permutation_metrics", f"""WITH {P}, v AS (SELECT dataset, cluster, base_id, prediction, count(*) n, min(correct) c FROM scored GROUP BY ALL),
+_VOTES = """v AS (SELECT dataset, cluster, base_id, prediction, count(*) n, min(correct) c FROM scored GROUP BY ALL),
 q AS (SELECT dataset, cluster, base_id, count(DISTINCT permutation) k FROM scored GROUP BY ALL),
-u AS (SELECT dataset, cluster, base_id, sum(n) n, max(n) m, count(*) p, min(c) c FROM v GROUP BY ALL)
+u AS (SELECT dataset, cluster, base_id, sum(n) n, max(n) m, count(*) p, min(c) c FROM v GROUP BY ALL)"""
+
+
+@_query("permutation_metrics", f"""WITH {P}, {_VOTES}
 SELECT dataset, count(*) AS expected_units, count(*) FILTER (n = 2 AND k = 2) AS complete_units, round(avg(CAST(p = 1 AS INTEGER)) FILTER (n = 2 AND k = 2), 6) AS consistency,
   round(avg(m / n) FILTER (n = 2 AND k = 2), 6) AS stability, round(avg(c) FILTER (n = 2 AND k = 2), 6) AS all_correct FROM u JOIN q USING (dataset, cluster, base_id) GROUP BY dataset""")
 def permutation_metrics(spark, d):
@@ -74,6 +87,15 @@ def permutation_metrics(spark, d):
     return out.select("dataset", "expected_units", "complete_units", *_r("consistency", "stability", "all_correct"))
 
 
+@_query("permutation_intervals", f"""WITH {P}, {_VOTES},
+units AS (SELECT dataset, cluster, base_id, CASE WHEN n = 2 AND k = 2 THEN CAST(p = 1 AS INTEGER) END AS consistent, CASE WHEN n = 2 AND k = 2 THEN m / n END AS stability, CASE WHEN n = 2 AND k = 2 THEN c END AS all_correct FROM u JOIN q USING (dataset, cluster, base_id)),
+{_interval_sql('consistent', 'stability', 'all_correct')}""")
+def permutation_intervals(spark, d):
+    units = D.permutation_units(_scored(spark, d), ["dataset", "cluster", "base_id"], 2)
+    metrics = ["consistent", "stability", "all_correct"]
+    return _intervals(units.withColumns({m: F.when(F.col("complete"), F.col(m)) for m in metrics}), *metrics)
+
+
 @_query("perturbation_flags", f"""WITH {P}, i AS (SELECT base_id, dataset, coalesce(bool_or(correct = 1) FILTER (condition = 'A'), FALSE) o, coalesce(bool_or(correct = 1) FILTER (condition = 'N'), FALSE) s, coalesce(bool_or(correct = 1) FILTER (condition = 'R'), FALSE) r FROM scored GROUP BY ALL)
 SELECT CASE WHEN grouping(dataset) = 1 THEN 'ALL' ELSE dataset END AS dataset, count(*) AS items, count(*) FILTER (o) AS original_correct, count(*) FILTER (o AND r AND s) AS robust, count(*) FILTER (o AND NOT (r AND s)) AS temporal_sensitive, count(*) FILTER (NOT o AND (r OR s)) AS helped,
   round(count(*) FILTER (o AND r AND s) / greatest(count(*) FILTER (o), 1), 6) AS robust_given_original FROM i GROUP BY ROLLUP (dataset)""")
