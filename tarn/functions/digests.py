@@ -61,20 +61,66 @@ def quoted(c: Column) -> Column:
     return F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
 
 
+#: Bytes of text in a piece of a listed root.
+PIECE = 1 << 14
+
+
 def listed_root(leaves: DataFrame, order: list[str], leaf: Column, name: str, schema: str) -> DataFrame:
     """root and members: SHA-256 of {"<name>":[leaves in order],"schema_version":"<schema>"}, the canonical form of a set.
 
-    A SHA-256 is one stream over its text, so a root of this form needs the ordered leaves in one place: the text is put
-    together from sorted pieces of a partition each, and one task hashes it. Use set_identity where the form is free.
+    A SHA-256 is one stream over its text, so a root of this form needs the ordered text in one place, yet not at once:
+    rows are dealt by ranges and put in order there, tasks pack the text of their leaves into small pieces, and one task
+    hashes the pieces as it reads them. It holds a batch of pieces, whatever the set. Digests travel as 32 bytes. Use
+    set_identity where the form is free.
     """
-    rows = leaves.select(*order, leaf.alias("__leaf"))
-    parts = rows.groupBy(F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in order)), 256), 1, 2).alias("p")).agg(F.collect_list(F.struct(*order, "__leaf")).alias("x"))
-    whole = parts.agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    import pyarrow as pa
+    from pyspark import TaskContext
+
     before, after = (f'{{"{name}":[', f'],"schema_version":"{schema}"}}')
     if name > "schema_version":
         before, after = f'{{"schema_version":"{schema}","{name}":[', "]}"
-    text = F.concat(F.lit(before), F.array_join(F.transform("x", lambda t: t["__leaf"]), ","), F.lit(after))
-    return whole.select(F.sha2(text, 256).alias("root"), F.size("x").cast("long").alias("members"))
+
+    def packed(batches):
+        task, n, held, rows, size = TaskContext.get().partitionId(), 0, [], 0, 0
+        kinds = {"task": pa.int32(), "n": pa.int64(), "rows": pa.int64(), "size": pa.int64(), "data": pa.binary()}
+        out = lambda r: pa.RecordBatch.from_arrays([pa.array([x[i] for x in r], t) for i, t in enumerate(kinds.values())], list(kinds))
+        whole = lambda: (task, n, rows, len(text := b",".join(held)), pa.compress(text, "zstd", asbytes=True) if held else None)
+        for batch in batches:
+            ready = []
+            for text in batch.column("__leaf").cast(pa.binary()).to_pylist():
+                rows += 1
+                if text is not None:
+                    held.append(text)
+                    size += len(text) + 1
+                if size >= PIECE:
+                    ready.append(whole())
+                    n, held, rows, size = n + 1, [], 0, 0
+            if ready:
+                yield out(ready)
+        if rows:
+            yield out([whole()])
+
+    def hashed(batches):
+        sha, members, begun = hashlib.sha256(before.encode()), 0, False
+        for batch in batches:
+            for rows, size, data in zip(*(batch.column(c) for c in ("rows", "size", "data"))):
+                members += rows.as_py()
+                if data.is_valid:
+                    sha.update(b"," if begun else b"")
+                    sha.update(pa.decompress(data.as_buffer(), size.as_py(), "zstd"))
+                    begun = True
+        sha.update(after.encode())
+        yield pa.RecordBatch.from_pydict({"root": [sha.hexdigest()], "members": pa.array([members], pa.int64())})
+
+    texts = [c for c, kind in leaves.dtypes if kind == "string" and c not in order]
+    short = {f"__b{i}": F.when(F.col(c).rlike(r"\A[0-9a-f]{64}\z"), F.unhex(c)) for i, c in enumerate(texts)}
+    rest = {f"__t{i}": F.when(~F.coalesce(F.col(c).rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)), F.col(c)) for i, c in enumerate(texts)}
+    rows = leaves.withColumns(short | rest).drop(*texts) if texts else leaves
+    rows = rows.repartitionByRange(*order).withColumns({c: F.coalesce(F.lower(F.hex(f"__b{i}")), F.col(f"__t{i}")) for i, c in enumerate(texts)})
+    rows = rows.select(*order, leaf.alias("__leaf")).sortWithinPartitions(*order, "__leaf").select("__leaf")
+    pieces = rows.mapInArrow(packed, "task int, n long, rows long, size long, data binary")
+    none = leaves.sparkSession.range(1).select(F.lit(-1).alias("task"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))  # a set may be empty
+    return none.unionByName(pieces).repartition(1).sortWithinPartitions("task", "n").mapInArrow(hashed, "root string, members long")
 
 
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
